@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphmill.llm import bpe_codec, token_count
+from graphmill.llm import bpe_codec, lang_id, lz_fingerprint, sharding, token_count, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -26,5 +27,32 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.bpe_round_trip(docs, public_tokenizers.path(VOCABULARY))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_count, op5_bpe_round_trip)}
+def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``rows``: shard sizes differ by one row at most; every shard holds each source in proportion."""
+    shards = sharding.stratified_shards(documents(spark, sf_dir).select("doc_id", "text", "source"), 16)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    profiles = lang_id.language_profiles(docs.where(~held_out).select("text", "lang"))
+    return lang_id.identify_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``toxic``: an expected severity of REJECT grades or more."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.toxicity_scores(docs, model)
+    return scored.select("doc_id", F.round("severity", 6).alias("severity"), "grade", (F.col("severity") >= toxicity.REJECT).alias("toxic"))
+
+
+def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.neighbour_fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_stratified_shards, op3_token_count, op5_bpe_round_trip, op6_language_id, op8_toxicity, op10_lz_fingerprint)
+}
 ORACLES: dict[str, str] = {}

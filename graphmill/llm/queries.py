@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe_codec, lang_id, lz_fingerprint, sharding, token_count, toxicity
+from graphmill.llm import bpe_codec, lang_id, lz_fingerprint, near_dedup, sharding, token_count, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -22,6 +22,10 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(docs, public_tokenizers.path(VOCABULARY))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words_each=4, percent=80)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe_codec.bpe_round_trip(docs, public_tokenizers.path(VOCABULARY))
@@ -53,6 +57,6 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_stratified_shards, op3_token_count, op5_bpe_round_trip, op6_language_id, op8_toxicity, op10_lz_fingerprint)
+    f.__name__: f for f in (op2_stratified_shards, op3_token_count, op4_near_duplicates, op5_bpe_round_trip, op6_language_id, op8_toxicity, op10_lz_fingerprint)
 }
 ORACLES: dict[str, str] = {}

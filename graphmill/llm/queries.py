@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe_codec, lang_id, lz_fingerprint, near_dedup, sharding, token_count, toxicity
+from graphmill.llm import bpe_codec, lang_id, lz_fingerprint, near_dedup, sharding, suffix_dedup, token_count, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -31,6 +31,13 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.bpe_round_trip(docs, public_tokenizers.path(VOCABULARY))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = suffix_dedup.remove_repeats(docs, 400)
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept_bytes")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shard sizes differ by one row at most; every shard holds each source in proportion."""
     shards = sharding.stratified_shards(documents(spark, sf_dir).select("doc_id", "text", "source"), 16)
@@ -57,6 +64,6 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_stratified_shards, op3_token_count, op4_near_duplicates, op5_bpe_round_trip, op6_language_id, op8_toxicity, op10_lz_fingerprint)
+    f.__name__: f for f in (op1_suffix_dedup, op2_stratified_shards, op3_token_count, op4_near_duplicates, op5_bpe_round_trip, op6_language_id, op8_toxicity, op10_lz_fingerprint)
 }
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe_codec, lang_id, lz_fingerprint, near_dedup, sharding, suffix_dedup, token_count, toxicity
+from graphmill.llm import bpe_codec, lang_id, lz_fingerprint, near_dedup, sharding, substring_dedup, suffix_dedup, token_count, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -59,11 +59,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.round("severity", 6).alias("severity"), "grade", (F.col("severity") >= toxicity.REJECT).alias("toxic"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_passages(documents(spark, sf_dir).select("doc_id", "text"), 20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.neighbour_fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_stratified_shards, op3_token_count, op4_near_duplicates, op5_bpe_round_trip, op6_language_id, op8_toxicity, op10_lz_fingerprint)
+    f.__name__: f for f in (op1_suffix_dedup, op2_stratified_shards, op3_token_count, op4_near_duplicates, op5_bpe_round_trip, op6_language_id, op8_toxicity, op9_substring_dedup, op10_lz_fingerprint)
 }
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe_codec, lang_id, lz_fingerprint, near_dedup, sharding, substring_dedup, suffix_dedup, token_count, toxicity
+from graphmill.llm import bpe_codec, decontaminate, lang_id, lz_fingerprint, near_dedup, sharding, substring_dedup, suffix_dedup, token_count, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -51,6 +51,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document; ``items`` are the leaked test items, best first."""
+    out = decontaminate.contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "contaminated", F.col("leaks.item_id").alias("items"), F.get("leaks", F.lit(0))["score"].alias("best_score"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``toxic``: an expected severity of REJECT grades or more."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -69,6 +75,6 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_stratified_shards, op3_token_count, op4_near_duplicates, op5_bpe_round_trip, op6_language_id, op8_toxicity, op9_substring_dedup, op10_lz_fingerprint)
+    f.__name__: f for f in (op1_suffix_dedup, op2_stratified_shards, op3_token_count, op4_near_duplicates, op5_bpe_round_trip, op6_language_id, op7_decontamination, op8_toxicity, op9_substring_dedup, op10_lz_fingerprint)
 }
 ORACLES: dict[str, str] = {}

@@ -202,8 +202,9 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(df: DataFrame, size: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``df`` plus ``removed`` (array of byte spans, maximal and in order) and ``kept_bytes`` (binary: the rest)."""
-    rest = [c for c in df.columns if c not in ("removed", "kept_bytes")]
+    """All columns of ``df`` plus ``removed`` (array of byte spans, maximal and in order), ``kept_bytes`` (binary: the rest) and ``kept_text`` (the rest without characters that were cut through)."""
+    mine = ("removed", "kept_bytes", "kept_text")
+    rest = [c for c in df.columns if c not in mine]
     other = [c for c in rest if c != text]
     names = [f"_c{i}" for i in range(len(other))]
     docs = df.select(
@@ -223,9 +224,9 @@ def remove_repeats(df: DataFrame, size: int = 400, doc_id: str = "doc_id", text:
                 edges = [0, *[x for span in gone for x in span], len(body)]
                 kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append([{"start": a, "end": b} for a, b in gone])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=[*names, "_null", "_text", "removed", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string())], names=[*names, "_null", "_text", *mine])
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes[:-1]), "removed array<struct<start:int,end:int>>", "kept_bytes binary"])
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes[:-1]), "removed array<struct<start:int,end:int>>", "kept_bytes binary", "kept_text string"])
     out = joined.mapInArrow(run, schema)
     given = {c: F.col(n).alias(c) for c, n in zip(other, names, strict=True)} | {text: F.when(~F.col("_null"), F.col("_text")).alias(text)}
-    return out.select(*[given[c] for c in rest], "removed", "kept_bytes")
+    return out.select(*[given[c] for c in rest], *mine)

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +132,7 @@ def learn(texts: pa.Array, labels: np.ndarray, levels: int, least: int = 4, z: f
     errors, and that are ``lift`` times as common there: words that merely come with long texts stay out.
     """
     rows, hashes = [], []
-    for first, _, data, offsets in text_slices(texts):
+    for first, _, data, offsets in text_slices(pc.utf8_lower(texts)):
         r, h = word_features(data, offsets)
         order = np.lexsort((h, r))
         r, h = r[order], h[order]
@@ -197,6 +198,6 @@ def toxicity_scores(docs: DataFrame, model: OrdinalModel, text: str = "text") ->
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             column = pa.Array.from_pandas(batch, type=pa.string())
-            yield pd.Series(np.concatenate([np.zeros(0), *(shipped.value.score(data, offsets) for _, _, data, offsets in text_slices(column))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(shipped.value.score(data, offsets) for _, _, data, offsets in text_slices(pc.utf8_lower(column)))]))
 
     return docs.withColumn("severity", score(F.col(f"`{text}`").cast("string"))).withColumn("grade", F.round("severity").cast("int"))

@@ -42,9 +42,9 @@ def strong_components(nodes: list[int], edges: dict[int, list[int]]) -> dict[int
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == number[node]:
-                    at = path.index(node, len(path) - 1) if path[-1] == node else len(path) - 1 - path[::-1].index(node)
-                    members = path[at:]
-                    del path[at:]
+                    members = [path.pop()]
+                    while members[-1] != node:
+                        members.append(path.pop())
                     least = min(members)
                     out.update((m, least) for m in members)
     return out

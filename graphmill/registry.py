@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import graph_queries, relational_queries
+from graphmill.plans import code_queries, graph_queries, relational_queries
 
-_MODULES = (graph_queries, relational_queries)
+_MODULES = (graph_queries, relational_queries, code_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -224,7 +224,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 def confirmed_links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v) of the pairs with 100 * intersection >= percent * union on the full sets."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(full_sets(docs.join(wanted, F.col("_id") == F.col("id"), "left_semi").dropDuplicates(["_id"]), size), "sets")
+    sets = cut(full_sets(docs.join(wanted.hint("merge"), F.col("_id") == F.col("id"), "left_semi").dropDuplicates(["_id"]), size), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -237,7 +237,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     all_rows = cut(summaries(docs, words_each), "summaries")
     sets = ["n", "set_a", "set_b"]
     equal = cut(all_rows.where("n > 0 and id is not null").groupBy(*sets).agg(F.min("id").alias("rep")), "equal")
-    reps = all_rows.where("n > 0").join(equal.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    reps = all_rows.where("n > 0").join(equal.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     nodes = small_nodes(reps.select("id", "paths"))
     pairs = cut(candidate_pairs(nodes.join(reps.select("id", "n", "sketch"), "id"), percent / 100), "pairs")
     labels = connected_components(confirmed_links(pairs, docs, words_each, percent))

@@ -80,7 +80,8 @@ class OrdinalModel:
 
     def expected(self, eta: np.ndarray) -> np.ndarray:
         """Expected grade: the sum over k of P(grade > k)."""
-        return (1 / (1 + np.exp(np.clip(self.thresholds[None, :] - eta[:, None], -500, 500)))).sum(axis=1)
+        with np.errstate(over="ignore"):
+            return (1 / (1 + np.exp(self.thresholds[None, :] - eta[:, None]))).sum(axis=1)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows, hashes = word_features(data, offsets)
@@ -187,7 +188,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     features, thresholds = model[model.kind == "feature"], model[model.kind == "threshold"].sort_values("hash")
     hashes = features.hash.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return OrdinalModel(hashes[order], features.value.to_numpy(float)[order], thresholds.value.to_numpy(float) if len(thresholds) else np.full(levels - 1, 500.0))
+    return OrdinalModel(hashes[order], features.value.to_numpy(float)[order], thresholds.value.to_numpy(float) if len(thresholds) else np.full(levels - 1, np.inf))
 
 
 def toxicity_scores(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:

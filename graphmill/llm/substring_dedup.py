@@ -169,16 +169,18 @@ def repeated_passages(docs: DataFrame, size: int) -> DataFrame:
     closed = pieces.where("not open and copies > 1").select("lead", "content", "source", "target", "windows", "id", "place")
     paths = cut(compacted_paths(closed.unionByName(edges.drop("_forms"))), "paths")
 
+    # where each repeated piece first occurs, and its place on its path
+    on_path = paths.select(F.col("lead").alias("_l"), F.col("content").alias("_w"), "path_id", "path_place", "offset")
+    known = lambda df, content: df.select(F.col("lead").alias("_k"), F.col(content).alias("_c"), F.col("id").alias("_i"), F.col("place").alias("_p")).join(on_path, (F.col("_k") == F.col("_l")) & (F.col("_c") == F.col("_w")), "left").drop("_l", "_w")
+    later = (F.col("id") > F.col("_i")) | ((F.col("id") == F.col("_i")) & (F.col("place") > F.col("_p")))
     # later occurrences of a super-edge: all its windows
-    later = shared.join(distinct.where("copies > 1").select(F.col("lead").alias("_l"), F.col("whole").alias("_w"), F.col("id").alias("_i"), F.col("place").alias("_p")), (F.col("lead") == F.col("_l")) & (F.col("whole") == F.col("_w")))
-    later = later.where("id > _i or (id = _i and place > _p)").select("lead", F.col("whole").alias("content"), "id", "place", (F.col("place").bitwiseAND(F.lit(31)) + 1).alias("windows"))
+    firsts = cut(known(distinct.where("copies > 1"), "whole"), "firsts")
+    wholes = shared.join(firsts, (F.col("lead") == F.col("_k")) & (F.col("whole") == F.col("_c"))).where(later).withColumn("windows", F.col("place").bitwiseAND(F.lit(31)) + 1)
     # later occurrences of single edges, in the first occurrence of a super-edge
-    again = pieces.where("open").select("lead", "content", "id", "place", F.col("windows").cast("long").alias("windows"))
-    before = edges.where("_forms > 1").select(F.col("lead").alias("_l"), F.col("content").alias("_w"), F.col("id").alias("_i"), F.col("place").alias("_p"))
-    again = again.join(before, (F.col("lead") == F.col("_l")) & (F.col("content") == F.col("_w"))).where("id > _i or (id = _i and place > _p)").select("lead", "content", "id", "place", "windows")
-
-    on_path = paths.select(F.col("lead").alias("_l"), F.col("content").alias("_w"), "path_id", "path_place", "offset")
-    placed = later.unionByName(again).join(on_path, (F.col("lead") == F.col("_l")) & (F.col("content") == F.col("_w")), "left")
+    singles = cut(known(edges.where("_forms > 1"), "content"), "firsts")
+    again = pieces.where("open").join(singles, (F.col("lead") == F.col("_k")) & (F.col("content") == F.col("_c"))).where(later).withColumn("windows", F.col("windows").cast("bigint"))
+    columns = ["id", "place", "windows", "path_id", "path_place", "offset"]
+    placed = wholes.select(*columns).unionByName(again.select(*columns))
     start = position("place")
     placed = placed.select("id", version("place").alias("version"), start.alias("start"), (start + F.col("windows")).alias("end"), "path_id", "path_place", (start - F.coalesce("offset", F.lit(0))).alias("_shift"))
     occurrences = placed.groupBy("id", "version", "path_id", "path_place", "_shift").agg(F.min("start").alias("_s"), F.max("end").alias("_e"), F.sum(F.col("end") - F.col("start")).alias("_sum"), F.collect_list(F.struct("start", "end")).alias("_parts"))

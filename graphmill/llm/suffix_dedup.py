@@ -174,6 +174,7 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     """(id, hash, spans array of (start, end) in bytes), for documents (_id, _hash, _text) with a repeated string."""
     found = cut(_segments(docs, size), "segments")
     twice = found.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("_a")
+    twice = cut(twice, "twice")  # apart from the join, so that a hot anchor's rows can be split there
     shared = cut(found.join(twice, F.col("anchor") == F.col("_a"), "left_semi"), "shared")
     distinct = shared.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("id", "hash", "first", "rel", "windows")])
     distinct = cut(distinct, "distinct")
@@ -186,6 +187,7 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
         partial = partial.unionByName(_counted_repeats(bodies.join(hot, F.col("anchor") == F.col("_a"), "left_semi"), size))
     whole = distinct.where("copies > 1").select("anchor", "whole", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
     lists = whole.unionByName(partial).groupBy(F.col("anchor").alias("_a"), F.col("whole").alias("_w")).agg(F.collect_list(F.struct("low", "high")).alias("_runs"))
+    lists = cut(lists, "lists")
     spans = shared.join(lists, (F.col("anchor") == F.col("_a")) & (F.col("whole") == F.col("_w"))).select("id", "hash", "first", F.explode("_runs").alias("_run"))
     return spans.select("id", "hash", F.struct((F.col("first") + F.col("_run.low")).alias("start"), (F.col("first") + F.col("_run.high") + F.lit(size)).alias("end")).alias("span")).groupBy("id", "hash").agg(F.collect_list("span").alias("spans"))
 

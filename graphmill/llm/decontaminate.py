@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, ragged, text_slices, words
 
-SEED, STRETCH = 3, 4
+SEED, STRETCH = 3, 2
 #: A leak scores so much or more.
-LEAK = 0.5
+LEAK = 0.4
 #: Words of a long item that must be found for a full score.
 PASSAGE = 100
 #: Words of all items together, at most (about 100 MB in a worker).

@@ -105,7 +105,7 @@ def _in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component, n, cyclic) for every node; cyclic: an edge stays inside the component (a self-loop counts)."""
     names = nodes.select(F.col("node").cast("bigint").alias("node")).where("node is not null").distinct()
-    sure = edges.where("kind in ('definite', 'possible') and src is not null and dst is not null").select("src", "dst").distinct()
+    sure = cut(edges.where("kind in ('definite', 'possible') and src is not null and dst is not null").select("src", "dst").distinct(), "edges")  # counted, solved and joined
     if sure.limit(small + 1).count() <= small and names.limit(small + 1).count() <= small:
         found = _in_one_task(names, sure)
     else:

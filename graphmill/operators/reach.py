@@ -92,7 +92,6 @@ def closure(edges: DataFrame, start: DataFrame, stop: DataFrame | None = None) -
 
 
 def _in_rounds(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    edges = cut(edges.select("src", "dst", "kind"), "edges")
     reached = closure(edges.where("kind <> 'unknown'").select("src", "dst"), roots)
     seeds = edges.where("kind = 'unknown'").join(reached.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
     possible = closure(edges.select("src", "dst"), seeds, stop=reached)
@@ -101,7 +100,7 @@ def _in_rounds(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def reachability(edges: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, possible): every node reached from ``roots`` (node) over ``edges`` (src, dst, kind), or possibly reached."""
-    clean = edges.select("src", "dst", "kind").where("src is not null and dst is not null and kind is not null")
+    clean = cut(edges.select("src", "dst", "kind").where("src is not null and dst is not null and kind is not null"), "edges")  # counted, then walked
     start = roots.select(F.col("node").cast("bigint").alias("node")).where("node is not null").distinct()
     if clean.limit(small + 1).count() <= small and start.limit(small + 1).count() <= small:
         return _in_one_task(clean, start)

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.functions import flags
+from graphmill.operators import components
 from graphmill.operators.reach import KINDS, kind_code
 from graphmill.plans import fixtures
+from graphmill.plans.fact_tables import fact_table
 from graphmill.plans.projects import Analysis, analyze, exit_codes, extract_facts, report_lines
+from graphmill.scratch import cut
 
 
 def fixture_files(spark: SparkSession) -> DataFrame:
@@ -76,12 +80,56 @@ def code_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, "symbol").join(asked, ["project", "name"], "left_semi").select("project", "name", F.col("detail").alias("flags")).distinct()
 
 
+def _one(spark: SparkSession, project: str) -> DataFrame:
+    return fixture_files(spark).where(F.col("project") == project)
+
+
+def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fact_table(_one(spark, "dead_chain"), "tokens").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = F.concat_ws("+", flags.names_of(F.col("flags"), flags.REFERENCE_FLAGS)).alias("uses")
+    return fact_table(_one(spark, "rollup"), "references").select("name", uses).groupBy("name", "uses").agg(F.count(F.lit(1)).alias("n"))
+
+
+def code_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.concat_ws("+", flags.names_of(F.col("flags"), flags.SCOPE_FLAGS)).alias("flags")
+    return fact_table(_one(spark, "rollup"), "scopes").select(found).groupBy("flags").agg(F.count(F.lit(1)).alias("n"))
+
+
+def code_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who owns the uses of a name: references joined to the owners of their nodes."""
+    files = fixture_files(spark)
+    asked = spark.createDataFrame([o[:2] for o in fixtures.OWNERS], "project string, name string")
+    owners = fact_table(files, "nodes").select("project", "path", "node", "owner")
+    names = fact_table(files, "symbols").select("project", "path", F.col("symbol").alias("owner"), F.col("name").alias("owner_name"))
+    uses = fact_table(files, "references").where("symbol is not null").join(asked, ["project", "name"], "left_semi").join(owners, ["project", "path", "node"])
+    return uses.join(names, ["project", "path", "owner"], "left").select("project", "name", F.coalesce("owner_name", F.lit("")).alias("owner")).distinct()
+
+
+def code_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = cut(extract_facts(fixture_files(spark)), "facts")
+    symbols = facts.where("fact = 'symbol'").select(F.col("sid").alias("node"), "project", "name")
+    found = components.components(symbols, facts.where("fact = 'edge'").select(F.col("sid").alias("src"), F.col("other").alias("dst"), "kind"))
+    asked = spark.createDataFrame([c[:2] for c in fixtures.CYCLES], "project string, name string")
+    return found.join(symbols, "node").join(asked, ["project", "name"], "left_semi").select("project", "name", "n", F.col("cyclic").cast("int").alias("cyclic"))
+
+
+def code_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = _analysis(spark)
+    asked = spark.createDataFrame([v[:2] for v in fixtures.VERDICTS], "project string, name string")
+    symbols = result.of("symbol").join(asked, ["project", "name"], "left_semi").select("project", "name", F.col("sid").alias("node"))
+    verdict = F.when(F.col("possible"), "possible").when(~F.col("possible"), "reached").otherwise("dead")
+    return symbols.join(result.reached, "node", "left").select("project", "name", verdict.alias("verdict"))
+
+
 def _values(rows: list[tuple], names: str) -> str:
     text = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
 
 
-QUERIES = {f.__name__: f for f in (code_findings, code_report, code_edges, code_files, code_imports, code_modules, code_build_roots, code_roots, code_contract, code_exit, code_flags)}
+QUERIES = {f.__name__: f for f in (code_findings, code_report, code_edges, code_files, code_imports, code_modules, code_build_roots, code_roots, code_contract, code_exit, code_flags, code_tokens, code_references, code_scopes, code_owners, code_cycles, code_verdicts)}
 ORACLES = {
     "code_findings": _values(fixtures.FINDINGS, "project, path, name, class, nested, cycle_size"),
     "code_edges": _values(fixtures.EDGES, '"project", "user", "used", "kind"'),
@@ -93,4 +141,10 @@ ORACLES = {
     "code_contract": _values(fixtures.STALE, "project, spec, missing"),
     "code_exit": _values(fixtures.EXIT_CODES, "project, exit_code"),
     "code_flags": _values(fixtures.FLAGS, "project, name, flags"),
+    "code_tokens": _values(fixtures.TOKENS, "tag, n"),
+    "code_references": _values(fixtures.REFERENCES, "name, uses, n"),
+    "code_scopes": _values(fixtures.SCOPES, "flags, n"),
+    "code_owners": _values(fixtures.OWNERS, "project, name, owner"),
+    "code_cycles": _values(fixtures.CYCLES, "project, name, n, cyclic"),
+    "code_verdicts": _values(fixtures.VERDICTS, "project, name, verdict"),
 }

@@ -216,3 +216,29 @@ FLAGS: list[tuple[str, str, str]] = [
     ("method", "Lamp", "const,struct,variable"), ("method", "on", "member,struct"), ("method", "flip", "fn"), ("method", "lamp", "variable"),
     ("payloads", "node", "const,payload"), ("exported", "hook", "export,fn"), ("exported", "outside", "extern,fn"), ("generic", "T", "comptime,const,fn_param"), ("rollup", "sum", "const,variable"),
 ]
+
+#: of dead_chain: (tag, tokens)
+TOKENS: list[tuple[str, int]] = [("pub", 1), ("fn", 3), ("identifier", 7), ("(", 4), (")", 4), ("{", 3), ("}", 3), (";", 1), ("eof", 1)]
+
+#: of rollup: (name, uses, references)
+REFERENCES: list[tuple[str, str, int]] = [
+    ("void", "type+primitive", 1), ("u32", "read+primitive", 2), ("u32", "type+primitive", 1), ("a", "read", 1), ("b", "read", 1), ("sum", "read", 1),
+]
+
+#: of rollup: (flags, scopes)
+SCOPES: list[tuple[str, int]] = [("top", 1), ("function", 2), ("function+block", 2)]
+
+#: (project, name that is used, who owns the use); what belongs to nobody has ''
+OWNERS: list[tuple[str, str, str]] = [
+    ("payloads", "node", "main"), ("payloads", "run", "main"), ("payloads", "list", "main"), ("anytype", "value", "apply"), ("anytype", "apply", "main"),
+    ("test_block", "helper", ""), ("test_block", "deeper", "helper"), ("comptime_block", "verify", ""),
+]
+
+#: (project, name, members of its component, cyclic)
+CYCLES: list[tuple[str, str, int, int]] = [("cycle", "ping", 2, 1), ("cycle", "pong", 2, 1), ("cycle", "again", 1, 1), ("cycle", "main", 1, 0), ("live_chain", "first", 1, 0), ("anytype", "apply", 1, 0)]
+
+#: (project, name, verdict) of some functions
+VERDICTS: list[tuple[str, str, str]] = [
+    ("live_chain", "second", "reached"), ("dead_chain", "lower", "dead"), ("runtime_field", "hammer", "possible"), ("runtime_field", "swing", "possible"), ("literal_field", "hammer", "reached"),
+    ("method", "flip", "reached"), ("two_files", "lock", "reached"), ("exported", "work", "reached"), ("comptime_block", "all", "reached"), ("test_block", "helper", "dead"), ("generic", "use", "reached"),
+]

@@ -35,9 +35,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This ends the lineage: a later loss of executors re-reads the table instead of
-    recomputing what led to it, and a table read twice is computed once.
+    recomputing what led to it, and a table read twice is computed once. The shuffle files
+    behind it are of no more use; Spark deletes them once the driver has collected its garbage, which is
+    asked for here, as a driver with little to do may not do it for long while executors' disks fill.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -97,32 +98,63 @@ def encode_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarr
     return symbols[:n][keep], np.add.reduceat(np.append(keep, False).astype(np.int64), np.append(0, np.cumsum(lengths)[:-1])) * (lengths > 0)
 
 
+class Numbers(dict):
+    """Pre-token -> its number, given out in order of first use."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.split = vocabulary, Splitter(vocabulary.special)
-        self.known: dict[str, bytes] = {}
         self.sizes = np.fromiter(map(len, vocabulary.tokens), np.int64, len(vocabulary.tokens))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        """The ids of pre-token i are ids[ends[i]:ends[i + 1]]."""
+        self.numbers = Numbers()
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self) -> None:
+        """Encodes the pre-tokens that were numbered since the last time."""
+        special = self.vocabulary.special
+        new = list(islice(self.numbers, len(self.ends) - 1, None))
+        ids, counts = [self.ids], [np.diff(self.ends)]
+        for run in chunks([p.encode() for p in new], 8 << 20):
+            got, n = encode_pieces(run, self.vocabulary)
+            ids.append(got)
+            counts.append(n)
+        self.ids, lengths = np.concatenate(ids), np.concatenate(counts)
+        self.ends = np.append(0, np.cumsum(lengths))
+        for piece in special:  # an added string is its one id, not its bytes
+            i = self.numbers.get(piece)
+            if i is not None and i >= len(self.ends) - 1 - len(new):
+                before, after = self.ids[: self.ends[i]], self.ids[self.ends[i + 1] :]
+                self.ids = np.concatenate([before, np.array([special[piece]], np.int32), after])
+                lengths[i] = 1
+                self.ends = np.append(0, np.cumsum(lengths))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new: set[str] = set()
-        for tokens in split:
-            new.update(tokens)
-        new.difference_update(self.known.keys())
-        special = self.vocabulary.special
-        pieces = [p for p in new if p not in special]
-        for run in chunks([p.encode() for p in pieces], 8 << 20):
-            ids, counts = encode_pieces(run, self.vocabulary)
-            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            self.known.update((p.decode(), raw[s:e]) for p, s, e in zip(run, [0, *ends[:-1]], ends, strict=True))
-        self.known.update((p, special[p].to_bytes(4, "little")) for p in new if p in special)
-        get = self.known.__getitem__
-        return [b"".join(map(get, tokens)) for tokens in split]
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
+        number = self.numbers.__getitem__
+        coded = []  # numbers, as the pre-tokens themselves would take ten times the memory
+        for t in texts:
+            tokens = self.split(t)
+            coded.append(np.fromiter(map(number, tokens), np.int32, len(tokens)))
+        if len(self.numbers) > len(self.ends) - 1:
+            self.learn()
+        out = []
+        for numbers in coded:
+            start = self.ends[numbers]
+            owner, inside = ragged(self.ends[numbers + 1] - start)
+            out.append(self.ids[start[owner] + inside].astype("<u4").tobytes())
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that the ids stand for; broken sequences become U+FFFD."""
@@ -147,13 +179,14 @@ def bpe_round_trip(df: DataFrame, vocabulary_path: str, text: str = "text", keep
         codec = Codec(shipped.value)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for first, last, _, _ in text_slices(column, 16 << 20):
+            for first, last, _, _ in text_slices(column, 8 << 20):
                 part = batch.slice(first, last - first)
                 ids = codec.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
                 decoded = [codec.decode(x) for x in ids]
                 out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha256(x).hexdigest() for x in ids], pa.string()), pa.array([sha256(x).hexdigest() for x in decoded], pa.string())]
                 if keep_ids:
-                    out.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
+                    lengths = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
+                    out.append(pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), np.cumsum(lengths, dtype=np.int32))), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 if keep_text:
                     out.append(pa.array([x.decode() for x in decoded], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], names=[*names, *types])

@@ -1,4 +1,4 @@
-"""Make the package importable for Python workers, wherever they run."""
+"""Prepare a session for the package's Python workers, wherever they run."""
 
 from __future__ import annotations
 
@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch that goes to a worker. Spark's own bound counts rows, and ten thousand long texts
+#: are more than a worker and the buffers of its executor should hold.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def ensure_shipped(spark: SparkSession) -> None:
-    """Adds the package as a zip to the application, once."""
+    """Adds the package as a zip to the application, once, and bounds Arrow batches where the session doesn't say."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

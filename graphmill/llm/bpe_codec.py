@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.bpe import NONE, Splitter, Vocabulary, chunks, flat_symbols
-from graphmill.llm.textkit import ragged, text_slices
+from graphmill.llm.textkit import frugal, ragged, text_slices
 
 #: Pre-tokens that a worker remembers before it starts afresh; bounds its memory.
 REMEMBERED = 300_000
@@ -192,4 +192,4 @@ def bpe_round_trip(df: DataFrame, vocabulary_path: str, text: str = "text", keep
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], names=[*names, *types])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in given.dtypes[:-1]), *(f"{n} {t}" for n, t in types.items())])
-    return given.mapInArrow(run, schema).toDF(*rest, *types)
+    return given.mapInArrow(frugal(run), schema).toDF(*rest, *types)

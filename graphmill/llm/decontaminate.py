@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, ragged, text_slices, words
+from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, frugal, ragged, text_slices, words
 
 SEED, STRETCH = 3, 2
 #: A leak scores so much or more.
@@ -103,7 +103,7 @@ def count_in(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
 
     if not len(wanted):
         return {}
-    totals = docs.select("_text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row per n-gram of the items
+    totals = docs.select("_text").mapInArrow(frugal(run), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row per n-gram of the items
     return {r["at"]: r["n"] for r in totals}
 
 
@@ -236,4 +236,4 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, kind)], names=[*names, "leaks"])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes[:-1]), "leaks array<struct<item_id:bigint,score:double,first_word:bigint,last_word:bigint>>"])
-    return docs.mapInArrow(run, schema).toDF(*rest, "leaks").withColumn("contaminated", F.size("leaks") > 0)
+    return docs.mapInArrow(frugal(run), schema).toDF(*rest, "leaks").withColumn("contaminated", F.size("leaks") > 0)

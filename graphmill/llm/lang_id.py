@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.llm.textkit import frugal
+
 #: n-grams in a profile, and at most in a text's own ranking.
 PROFILE = 400
 #: Characters are folded to so many bits (14 bits hold all alphabets; later scripts fold onto them).
@@ -115,7 +117,7 @@ def language_profiles(df: DataFrame, text: str = "text", lang: str = "lang") ->
             yield table()
 
     rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null")
-    totals = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = rows.mapInArrow(frugal(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = totals.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= PROFILE)
     found = best.select("lang", "gram", "place").toPandas()  # languages x PROFILE rows
     return {name: part.sort_values("place").gram.to_numpy(np.int64).astype(np.uint64) for name, part in sorted(found.groupby("lang"))}

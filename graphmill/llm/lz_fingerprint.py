@@ -23,7 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.textkit import Poly
+from graphmill.llm.textkit import Poly, frugal
 
 #: Hashes in a fingerprint; each takes 8 hex digits.
 KEPT = 64
@@ -108,7 +108,7 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([to_hex(fingerprint(t or "")) for t in texts], pa.string())], names=[*names, "fingerprint"])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in given.dtypes[:-1]), "fingerprint string"])
-    return given.mapInArrow(run, schema).toDF(*rest, "fingerprint")
+    return given.mapInArrow(frugal(run), schema).toDF(*rest, "fingerprint")
 
 
 def _id_ranges(docs: DataFrame, count: int) -> tuple[DataFrame, int, dict[int, list[int]]]:
@@ -172,4 +172,4 @@ def neighbour_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "t
         if out:
             yield flush()
 
-    return placed.select("_to", "_id", "_text", "_tail").mapInArrow(run, schema)
+    return placed.select("_to", "_id", "_text", "_tail").mapInArrow(frugal(run), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.components import connected_components
 from graphmill.scratch import cut
-from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, mix64, ragged, signed, text_slices, words
+from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, frugal, mix64, ragged, signed, text_slices, words
 
 SLOTS, TREES, LEVELS, NODE = 128, 12, 3, 64
 #: A candidate's estimate may be so much below the threshold (3.4 standard errors at 0.8).
@@ -104,7 +104,7 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends * width).astype(np.int32)), pa.array(paths))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(counts.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b)), lists, sketches], names=["id", "n", "set_a", "set_b", "paths", "sketch"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, set_a bigint, set_b bigint, paths array<bigint>, sketch binary")
+    return docs.mapInArrow(frugal(run), "id bigint, n bigint, set_a bigint, set_b bigint, paths array<bigint>, sketch binary")
 
 
 def small_nodes(reps: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0].copy()), pa.array(seen[:, 1].copy())], names=["a", "b"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.repartition(parts, "node").sortWithinPartitions("node", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+    return nodes.repartition(parts, "node").sortWithinPartitions("node", "id").mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -218,7 +218,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(signed(hashes)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return docs.mapInArrow(frugal(run), "id bigint, shingles array<bigint>")
 
 
 def confirmed_links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.scratch import cut
-from graphmill.llm.textkit import BYTE_CODE, Poly, minimizer_runs, ragged, signed, text_slices, words
+from graphmill.llm.textkit import BYTE_CODE, Poly, frugal, minimizer_runs, ragged, signed, text_slices, words
 
 #: Words of a minimizer.
 LEAD = 8
@@ -103,7 +103,7 @@ def _repeated(docs: DataFrame, size: int) -> DataFrame:
         if rows:
             yield passed_on()
 
-    found = docs.select("_id", "_version", "_text").mapInArrow(run, "lead bigint, salt bigint, whole bigint, id bigint, place bigint")
+    found = docs.select("_id", "_version", "_text").mapInArrow(frugal(run), "lead bigint, salt bigint, whole bigint, id bigint, place bigint")
     same = Window.partitionBy("lead", "salt")
     counted = found.withColumn("_rows", F.count(F.lit(1)).over(same))
     return counted.where("place >= 0 and (salt > 0 or _rows > 1)").select("lead", "whole", "id", "place")
@@ -135,7 +135,7 @@ def _pieces(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 columns = [lead[item], content, signed(poly.span(at, at + size - 1)), signed(poly.span(at + each, at + each + size - 1)), each.astype(np.int32), ids[first_row + owner[item]], (place[item] >> POS << POS) + (inside << POS), copies[item], opened[item]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lead", "content", "source", "target", "windows", "id", "place", "copies", "open"])
 
-    return joined.mapInArrow(run, "lead bigint, content bigint, source bigint, target bigint, windows int, id bigint, place bigint, copies bigint, open boolean")
+    return joined.mapInArrow(frugal(run), "lead bigint, content bigint, source bigint, target bigint, windows int, id bigint, place bigint, copies bigint, open boolean")
 
 
 def compacted_paths(pieces: DataFrame) -> DataFrame:
@@ -225,6 +225,6 @@ def remove_passages(df: DataFrame, size: int = 20, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*names, "_null", "_text", *mine])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes[:-1]), "n_words bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept_text string"])
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(frugal(run), schema)
     given = {c: F.col(n).alias(c) for c, n in zip(other, names, strict=True)} | {text: F.when(~F.col("_null"), F.col("_text")).alias(text)}
     return out.select(*[given[c] for c in rest], *mine)

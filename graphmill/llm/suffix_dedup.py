@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphmill.scratch import cut
 from graphmill.llm.suffix_sort import repeated_windows
-from graphmill.llm.textkit import BYTE_CODE, Poly, minimizer_runs, ragged, signed, text_slices
+from graphmill.llm.textkit import BYTE_CODE, Poly, frugal, minimizer_runs, ragged, signed, text_slices
 
 #: Distinct segments of one anchor that are sorted in one task; beyond, windows are counted by hash.
 HOT = 4096
@@ -75,7 +75,7 @@ def _segments(docs: DataFrame, size: int) -> DataFrame:
                 columns = [signed(anchor), signed(whole), ids[first_row + row], hashes[first_row + row], (first - base).astype(np.int32), (at - first).astype(np.int32), (last - first + 1).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "whole", "id", "hash", "first", "rel", "windows"])
 
-    return docs.select("_id", "_hash", "_text").mapInArrow(run, "anchor bigint, whole bigint, id bigint, hash bigint, first int, rel int, windows int")
+    return docs.select("_id", "_hash", "_text").mapInArrow(frugal(run), "anchor bigint, whole bigint, id bigint, hash bigint, first int, rel int, windows int")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -95,7 +95,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 body = pa.array([raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([items.field(c) for c in ("anchor", "whole", "copies", "rel", "windows")] + [body], names=["anchor", "whole", "copies", "rel", "windows", "body"])
 
-    return joined.mapInArrow(run, "anchor bigint, whole bigint, copies bigint, rel int, windows int, body binary")
+    return joined.mapInArrow(frugal(run), "anchor bigint, whole bigint, copies bigint, rel int, windows int, body binary")
 
 
 def _intervals(segment: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +146,7 @@ def _sorted_repeats(bodies: DataFrame, size: int) -> DataFrame:
             yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     parts = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bodies.repartition(parts, "anchor").sortWithinPartitions("anchor", "whole").mapInArrow(run, "anchor bigint, whole bigint, low int, high int")
+    return bodies.repartition(parts, "anchor").sortWithinPartitions("anchor", "whole").mapInArrow(frugal(run), "anchor bigint, whole bigint, low int, high int")
 
 
 def _counted_repeats(bodies: DataFrame, size: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _counted_repeats(bodies: DataFrame, size: int) -> DataFrame:
                 take = lambda k: part.column(k).to_numpy(zero_copy_only=False)[segment]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(take(0)), pa.array(take(1)), pa.array(take(2)), pa.array(window.astype(np.int32)), pa.array(signed(hashes))], names=["anchor", "whole", "copies", "low", "content"])
 
-    rows = cut(bodies.dropDuplicates(["anchor", "whole"]).mapInArrow(run, "anchor bigint, whole bigint, copies bigint, low int, content bigint"), "windows")
+    rows = cut(bodies.dropDuplicates(["anchor", "whole"]).mapInArrow(frugal(run), "anchor bigint, whole bigint, copies bigint, low int, content bigint"), "windows")
     many = rows.groupBy("anchor", "content").agg(F.sum("copies").alias("_times")).where("_times >= 2").select(F.col("anchor").alias("_a"), F.col("content").alias("_c"))
     return rows.where("copies = 1").join(many, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")), "left_semi").select("anchor", "whole", "low", F.col("low").alias("high"))
 
@@ -229,6 +229,6 @@ def remove_repeats(df: DataFrame, size: int = 400, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string())], names=[*names, "_null", "_text", *mine])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes[:-1]), "removed array<struct<start:int,end:int>>", "kept_bytes binary", "kept_text string"])
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(frugal(run), schema)
     given = {c: F.col(n).alias(c) for c, n in zip(other, names, strict=True)} | {text: F.when(~F.col("_null"), F.col("_text")).alias(text)}
     return out.select(*[given[c] for c in rest], *mine)

@@ -6,7 +6,9 @@ window minima are a few numpy passes over the buffer and not Python per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: A fixed random code per byte value, so that small bytes are not small numbers.
 BYTE_CODE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = [np.zeros(0, U64), np.zeros(0, U64)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,17 +33,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n (at least); the last size is kept."""
+    """BASE**i and BASE**-i for i < n (at least); the longest so far is kept, up to 2 million."""
+    if n <= len(_POWERS[0]):
+        return _POWERS[0], _POWERS[1]
     size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        up, down = np.ones(size, U64), np.ones(size, U64)
-        with np.errstate(over="ignore"):
-            up[1:], down[1:] = U64(BASE), U64(INVERSE)
-            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > 1 << 22:  # of an unusually long text: don't keep
-            return up, down
-        _POWERS[size] = up, down
-    return _POWERS[size]
+    up, down = np.ones(size, U64), np.ones(size, U64)
+    with np.errstate(over="ignore"):
+        up[1:], down[1:] = U64(BASE), U64(INVERSE)
+        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size <= 1 << 21:
+        _POWERS[:] = [up, down]
+    return up, down
+
+
+def give_back() -> None:
+    """Returns memory that is free to the system; a worker that waits for its next task else keeps its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives memory back when it ends."""
+
+    @wraps(run)
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return mapped
 
 
 class Poly:

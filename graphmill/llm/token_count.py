@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.bpe import NONE, Splitter, Vocabulary, chunks, flat_symbols
-from graphmill.llm.textkit import text_slices
+from graphmill.llm.textkit import frugal, text_slices
 
 #: Pre-tokens that a worker remembers before it starts afresh; bounds its memory.
 REMEMBERED = 300_000
@@ -113,4 +113,4 @@ def token_counts(df: DataFrame, vocabulary_path: str, text: str = "text", limit:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(sizes) if sizes else n), pa.array(n), pa.array(n > limit)], names=[*names, *mine])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in given.dtypes[:-1]), "n_bytes bigint", "n_tokens bigint", "over_limit boolean"])
-    return given.mapInArrow(run, schema).toDF(*rest, *mine)
+    return given.mapInArrow(frugal(run), schema).toDF(*rest, *mine)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, text_slices
+from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, give_back, text_slices
 
 #: Labelled rows that a model is fitted on, at most; also the bound of what is broadcast for that.
 SAMPLE = 10_000
@@ -182,6 +182,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         table = table.sort_by([("_id", "ascending"), ("_label", "ascending")]).slice(0, SAMPLE)
         features, weights, thresholds = learn(table["_text"].combine_chunks(), table["_label"].to_numpy().astype(np.int64), levels)
         used = weights != 0
+        give_back()
         return pa.table({"kind": pa.array(["feature"] * int(used.sum()) + ["threshold"] * len(thresholds), pa.string()), "hash": pa.array(np.concatenate([features[used].view(np.int64), np.arange(len(thresholds))]), pa.int64()), "value": pa.array(np.concatenate([weights[used], thresholds]), pa.float64())})
 
     model = rows.groupBy("_one").applyInArrow(fit, "kind string, hash bigint, value double").toPandas()  # at most FEATURES rows and the thresholds
@@ -200,5 +201,6 @@ def toxicity_scores(docs: DataFrame, model: OrdinalModel, text: str = "text") ->
         for batch in batches:
             column = pa.Array.from_pandas(batch, type=pa.string())
             yield pd.Series(np.concatenate([np.zeros(0), *(shipped.value.score(data, offsets) for _, _, data, offsets in text_slices(pc.utf8_lower(column)))]))
+        give_back()
 
     return docs.withColumn("severity", score(F.col(f"`{text}`").cast("string"))).withColumn("grade", F.round("severity").cast("int"))

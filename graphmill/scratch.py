@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -31,16 +32,24 @@ def scratch_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nobody refers to any more.
+
+    Spark deletes them once the driver has collected its garbage, which a driver with little to do may not do for long,
+    while executors' disks fill.
+    """
+    gc.collect()  # Python objects hold the plans of the JVM
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This ends the lineage: a later loss of executors re-reads the table instead of
-    recomputing what led to it, and a table read twice is computed once. The shuffle files
-    behind it are of no more use; Spark deletes them once the driver has collected its garbage, which is
-    asked for here, as a driver with little to do may not do it for long while executors' disks fill.
+    recomputing what led to it, and a table read twice is computed once. What earlier tables left behind is tidied first.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    tidy(spark)
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

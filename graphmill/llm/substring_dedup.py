@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.scratch import cut
+from graphmill.scratch import cut, tidy
 from graphmill.llm.textkit import BYTE_CODE, Poly, frugal, minimizer_runs, ragged, signed, text_slices, words
 
 #: Words of a minimizer.
@@ -202,7 +202,8 @@ def remove_passages(df: DataFrame, size: int = 20, doc_id: str = "doc_id", text:
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("_id"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"),
     ).withColumn("_version", F.shiftrightunsigned(F.xxhash64("_text"), 43))
-    spans = repeated_passages(docs, size)
+    spans = cut(repeated_passages(docs, size), "spans")
+    tidy(df.sparkSession)  # the shuffles behind the spans go before the texts are shuffled
     joined = docs.join(spans, (F.col("_id") == F.col("id")) & (F.col("_version") == F.col("version")), "left").select(*names, "_null", "_text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

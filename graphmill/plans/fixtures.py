@@ -74,7 +74,7 @@ PROJECTS: dict[str, tuple[dict[str, str], str | None, str | None]] = {
         {
             "build.zig": "const std = @import(\"std\");\npub fn build(b: *std.Build) void {\n    const core = b.createModule(.{ .root_source_file = b.path(\"src/core.zig\") });\n    const exe = b.addExecutable(.{ .name = \"app\", .root_module = b.createModule(.{ .root_source_file = b.path(\"src/main.zig\") }) });\n    exe.root_module.addImport(\"core\", core);\n    exe.root_module.addImport(\"net\", b.dependency(\"net\", .{}).module(\"net\"));\n    exe.root_module.addOptions(\"config\", b.addOptions());\n    const tests = b.addTest(.{ .root_module = b.createModule(.{ .root_source_file = b.path(\"src/spec.zig\") }) });\n    _ = tests;\n}\n",
             "build.zig.zon": ".{\n    .name = \"app\",\n    .dependencies = .{\n        .net = .{ .url = \"x\" },\n        .local = .{ .path = \"third/local\" },\n    },\n}\n",
-            ".zigroot.zon": ".{\n    .exports = .{ \"src/core.zig:published\", \"src/core.zig:absent\" },\n}\n",
+            ".contract.zon": ".{\n    .exports = .{ \"src/core.zig:published\", \"src/core.zig:absent\" },\n}\n",
             "src/main.zig": "const core = @import(\"core\");\nconst net = @import(\"net\");\nconst local = @import(\"local\");\nconst what = @import(\"what\");\nconst gone = @import(\"gone.zig\");\nconst text = @import(\"data.txt\");\npub fn main() void {\n    core.start();\n}\n",
             "src/core.zig": "pub fn start() void {}\npub fn published() void {\n    quiet();\n}\nfn quiet() void {}\npub fn forgotten() void {}\npub fn tested() void {}\n",
             "src/spec.zig": "const core = @import(\"core.zig\");\nconst kit = @import(\"kit.zig\");\ntest \"core\" {\n    core.tested();\n    kit.setup();\n}\n",

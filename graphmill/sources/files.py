@@ -11,11 +11,12 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.frontend.manifest import contract_name
 from graphmill.functions.names import skipped_path
 from graphmill.plans.projects import report_lines
 
 FILE_SCHEMA = "project string, path string, text string"
-SOURCE, SIDECARS = ".zig", ("build.zig.zon", ".zigroot.zon")
+SOURCE, MANIFEST = ".zig", "build.zig.zon"
 
 
 def _file_system(spark: SparkSession, root: str):
@@ -35,7 +36,7 @@ def discover(spark: SparkSession, root: str) -> list[str]:
     entries = fs.listFiles(base, True)
     while entries.hasNext():
         relative = entries.next().getPath().toString().removeprefix(prefix)
-        if relative in SIDECARS or relative.endswith(SOURCE) and not skipped_path(relative):
+        if relative == MANIFEST or contract_name(relative) or relative.endswith(SOURCE) and not skipped_path(relative):
             found.append(relative)
     return sorted(found, key=str.encode)
 

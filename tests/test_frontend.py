@@ -263,7 +263,7 @@ def test_production_wins_over_tests():
 
 
 def test_contract_names():
-    files = {"build.zig": 'pub fn build(b: *B) void { _ = b.addExecutable(.{ .root_source_file = b.path("m.zig") }); }', ".zigroot.zon": '.{ .exports = .{ "m.zig:S.go", "m.zig:T.go", "m.zig:S..go", "m.zig", "gone.zig:x" } }', "m.zig": "pub fn main() void {}\nconst S = struct { fn go() void {} };\nconst T = struct {};"}
+    files = {"build.zig": 'pub fn build(b: *B) void { _ = b.addExecutable(.{ .root_source_file = b.path("m.zig") }); }', ".contract.zon": '.{ .exports = .{ "m.zig:S.go", "m.zig:T.go", "m.zig:S..go", "m.zig", "gone.zig:x" } }', "m.zig": "pub fn main() void {}\nconst S = struct { fn go() void {} };\nconst T = struct {};"}
     project = Project.from_build(files)
     assert project.contract_unresolved == [("m.zig:T.go", "go"), ("m.zig:S..go", ""), ("gone.zig:x", None)]
     assert len(project.contract_roots) + len(project.contract_unresolved) == len(project.contract.exports)

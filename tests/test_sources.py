@@ -8,7 +8,7 @@ from graphmill.sources.files import discover, read_project, relative_path, write
 TREE = {
     "build.zig": 'pub fn build(b: *B) void { _ = b.addExecutable(.{ .root_source_file = b.path("src/main.zig") }); }',
     "build.zig.zon": ".{}",
-    ".zigroot.zon": '.{ .exports = .{ "src/_odd.zig:told" } }',
+    ".contract.zon": '.{ .exports = .{ "src/_odd.zig:told" } }',
     "src/main.zig": 'const odd = @import("_odd.zig");\npub fn main() void { odd.go(); }\n',
     "src/_odd.zig": "pub fn go() void {}\npub fn told() void {}\nfn never() void {}\n",
     "src/lost file.zig": "// ñ\n",
@@ -28,7 +28,7 @@ def tree(tmp_path):
 
 
 def test_discovery(spark, tree):
-    expected = [".zigroot.zon", "build.zig", "build.zig.zon", "src/_odd.zig", "src/lost file.zig", "src/main.zig"]
+    expected = [".contract.zon", "build.zig", "build.zig.zon", "src/_odd.zig", "src/lost file.zig", "src/main.zig"]
     assert discover(spark, str(tree)) == discover(spark, f"file://{tree}") == expected
     with pytest.raises(Exception, match="exist"):
         discover(spark, str(tree / "nowhere"))

@@ -6,7 +6,9 @@ so far picks a slot, and the document branches by its minwise token there, so th
 documents of likeness J stay together with probability J a level. A node that has become small (at
 most NODE documents) is compared exhaustively; larger nodes branch on, up to LEVELS
 times. What is still large then is cut into blocks, each with a few common pivots of its
-node, so no node is ever gathered whole. At likeness 0.8 a pair shares a node of depth d in some tree with
+node, so no node is ever gathered whole; that links most of a large cluster. All members of
+large nodes then go through an exact prefix-filter join on their full sets, without the pairs that
+are in one component by then. At likeness 0.8 a pair shares a node of depth d in some tree with
 probability 1 - (1 - 0.8**d)**12: 0.99999 for d = 1 and 2, 0.9998 for 3.
 
 Documents with equal sets are one representative from the start. Candidates are
@@ -107,8 +109,8 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(frugal(run), "id bigint, n bigint, set_a bigint, set_b bigint, paths array<bigint>, sketch binary")
 
 
-def small_nodes(reps: DataFrame) -> DataFrame:
-    """(node, id) with at most NODE rows a node, from (id, paths)."""
+def small_nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, id) with at most NODE rows a node, or blocks of larger ones, from (id, paths); the ids that are in blocks, if any."""
     levels = [F.element_at("paths", F.col("_tree") * LEVELS + i + 1).alias(f"_k{i}") for i in range(LEVELS)]
     rows = reps.select("id", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_tree")).select("id", *levels)
     found: list[DataFrame] = []
@@ -122,7 +124,7 @@ def small_nodes(reps: DataFrame) -> DataFrame:
         many = sizes.where(F.col("_size") > NODE)
         if level < LEVELS - 1:
             if not many.limit(1).count():
-                return _all(found)
+                return _all(found), None
             rows = cut(rows.join(many.select("_node"), F.col(key) == F.col("_node"), "left_semi"), "rows")
     blocks = many.withColumn("_blocks", F.ceil(F.col("_size") / (NODE // 2)))
     large = rows.join(blocks, F.col(key) == F.col("_node")).select("_node", "_blocks", "id", F.xxhash64("_node", "id").alias("_draw"))
@@ -131,7 +133,7 @@ def small_nodes(reps: DataFrame) -> DataFrame:
     pivots = pivots.select("_node", "_blocks", F.explode(F.array_distinct(F.array("a.id", "b.id", "c"))).alias("id"))
     everywhere = pivots.select("_node", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
     found.append(everywhere.select(F.xxhash64("_node", "_block").alias("node"), "id"))
-    return _all(found).distinct()
+    return _all(found).distinct(), large.select("id").distinct()
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -221,10 +223,43 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(frugal(run), "id bigint, shingles array<bigint>")
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def sets_of(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, shingles), once for each id of ``wanted``."""
+    return cut(full_sets(docs.join(wanted.hint("merge"), F.col("_id") == F.col("id"), "left_semi").dropDuplicates(["_id"]), size), "sets")
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b): every pair of ``sets`` with the likeness and unlike components, and some others.
+
+    Shingles are ordered by their number of sets. Of a pair, the first common one is in the smaller set's short prefix
+    and in the larger one's long prefix, and enough is left behind it in both. At a shingle, sets of its most
+    frequent component meet the sets of other components only.
+    """
+    n, total = F.col("n"), 100 + percent
+    shingles = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    often = shingles.groupBy("token").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
+    # shingles of one set come first and meet nothing
+    ordered = shingles.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("_often", "token"))).alias("_shared"))
+    alone = n - F.size("_shared")
+    long, short = (n - F.floor((percent * n + 99) / 100) + 1).cast("int"), (n - F.floor((2 * percent * n + total - 1) / total) + 1).cast("int")
+    prefix = ordered.select("id", "n", alone.alias("_alone"), F.posexplode(F.slice("_shared", F.lit(1), F.greatest(long - alone, F.lit(0)))))
+    prefix = prefix.select("id", "n", F.col("col.token").alias("token"), (F.col("_alone") + F.col("pos")).alias("at")).withColumn("short", F.col("at") < short)
+    prefix = prefix.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    prefix = cut(prefix, "prefix")
+    groups = prefix.groupBy("token", "component").agg(F.count(F.lit(1)).alias("_rows"), F.max("short").alias("_short")).groupBy("token").agg(F.max(F.struct("_rows", "component")).alias("_top"), F.count(F.lit(1)).alias("_groups"), F.max("_short").alias("_any"))
+    rows = cut(prefix.join(groups.where("_groups > 1 and _any").select("token", F.col("_top.component").alias("_top")), "token").withColumn("top", F.col("component") == F.col("_top")), "rows")
+    side = F.explode(F.when(F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    small = rows.where("short").select("token", side.alias("top"), *(F.col(c).alias(f"{c}_s") for c in ("id", "n", "at", "component")))
+    large = rows.select("token", "top", *(F.col(c).alias(f"{c}_l") for c in ("id", "n", "at", "component")))
+    both = small.join(large, ["token", "top"]).where("component_s <> component_l and (n_s < n_l or n_s = n_l and id_s < id_l)").where(100 * F.col("n_s") >= percent * F.col("n_l"))
+    needed = total * (F.least("at_s", "at_l") + F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))) >= percent * (F.col("n_s") + F.col("n_l"))
+    first = both.where(needed).groupBy("id_s", "id_l", "n_s", "n_l").agg(F.min("at_s").alias("at_s"), F.min("at_l").alias("at_l"))
+    left = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))
+    return first.where(total * left >= percent * (F.col("n_s") + F.col("n_l"))).select(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b"))
+
+
+def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the pairs with 100 * intersection >= percent * union on the full sets."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(full_sets(docs.join(wanted.hint("merge"), F.col("_id") == F.col("id"), "left_semi").dropDuplicates(["_id"]), size), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -238,9 +273,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     sets = ["n", "set_a", "set_b"]
     equal = cut(all_rows.where("n > 0 and id is not null").groupBy(*sets).agg(F.min("id").alias("rep")), "equal")
     reps = all_rows.where("n > 0").join(equal.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    nodes = small_nodes(reps.select("id", "paths"))
+    nodes, large = small_nodes(reps.select("id", "paths"))
     pairs = cut(candidate_pairs(nodes.join(reps.select("id", "n", "sketch"), "id"), percent / 100), "pairs")
-    labels = connected_components(confirmed_links(pairs, docs, words_each, percent))
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    labels = connected_components(confirmed_links(pairs, sets_of(wanted, docs, words_each), percent))
+    if large is not None:
+        large_sets = sets_of(large, docs, words_each)
+        more = cut(confirmed_links(cut(prefix_pairs(large_sets, labels, percent), "prefix_pairs"), large_sets, percent), "links")
+        if more.limit(1).count():
+            labels = connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     by_rep = equal.join(labels, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("component"))
     on = [all_rows[c] == by_rep[c] for c in sets]
     out = all_rows.join(by_rep, on, "left").select(all_rows["id"].alias("_id"), all_rows["n"].alias("_n"), F.when(all_rows["id"].isNotNull(), F.coalesce("component", all_rows["id"])).alias("_component"))

@@ -143,5 +143,26 @@ def test_near_duplicates_equal_brute_force(docs, monkeypatch, node):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out.collect())
 
 
+def test_pairs_in_a_large_family_are_found(spark):
+    """1200 texts of one template, likeness about 0.7 to each other, among them 40 pairs at 0.8 and a little more."""
+    rng = np.random.default_rng(3)
+    template = [f"t{i}" for i in range(165)]
+    rows = []
+    for k in range(1160):
+        rows.append((k, template + [f"d{k}x{i}" for i in range(35)]))
+    for k in range(40):
+        own = rows[29 * k][1]
+        changed = own[:165] + own[165:182] + [f"e{k}x{i}" for i in range(18)]  # 18 of 197 shingles differ
+        rows.append((5000 + k, changed))
+    rows = [(i, " ".join(words)) for i, words in rows]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    sets = {i: shingles(text, 4) for i, text in rows}
+    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.65 < likeness(1, 2) < 0.75 and all(0.8 <= likeness(29 * k, 5000 + k) < 0.85 for k in range(40))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), words_each=4)
+    found = {r.doc_id: r.component_id for r in out.collect()}
+    assert {i: c for i, c in found.items() if i != c} == {5000 + k: 29 * k for k in range(40)}
+
+
 def test_near_duplicates_of_nothing(empty_docs):
     assert near_dedup.near_duplicates(empty_docs).count() == 0

@@ -232,27 +232,34 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b): every pair of ``sets`` with the likeness and unlike components, and some others.
 
     Shingles are ordered by their number of sets. Of a pair, the first common one is in the smaller set's short prefix
-    and in the larger one's long prefix, and enough is left behind it in both. At a shingle, sets of its most
-    frequent component meet the sets of other components only.
+    and in the larger one's long prefix, and enough is left behind it in both. The shingles of one set alone and the
+    odd bits of the others (256 of them, each the parity of the shingles hashed to it) are in the difference for certain,
+    which drops pairs before they are made. At a shingle, sets of its most frequent component meet the sets of other
+    components only.
     """
     n, total = F.col("n"), 100 + percent
     shingles = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     often = shingles.groupBy("token").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
     # shingles of one set come first and meet nothing
-    ordered = shingles.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("_often", "token"))).alias("_shared"))
-    alone = n - F.size("_shared")
+    bit = F.expr("shiftleft(1L, cast(token & 63 as int))")
+    parity = [F.bit_xor(F.when(F.expr(f"shiftrightunsigned(token, 6) & 3 = {k}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(4)]
+    ordered = shingles.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("_often", "token"))).alias("_shared"), *parity)
+    alone, bits = n - F.size("_shared"), [f"p{k}" for k in range(4)]
     long, short = (n - F.floor((percent * n + 99) / 100) + 1).cast("int"), (n - F.floor((2 * percent * n + total - 1) / total) + 1).cast("int")
-    prefix = ordered.select("id", "n", alone.alias("_alone"), F.posexplode(F.slice("_shared", F.lit(1), F.greatest(long - alone, F.lit(0)))))
-    prefix = prefix.select("id", "n", F.col("col.token").alias("token"), (F.col("_alone") + F.col("pos")).alias("at")).withColumn("short", F.col("at") < short)
+    prefix = ordered.select("id", "n", *bits, alone.alias("alone"), F.posexplode(F.slice("_shared", F.lit(1), F.greatest(long - alone, F.lit(0)))))
+    prefix = prefix.select("id", "n", *bits, "alone", F.col("col.token").alias("token"), (F.col("alone") + F.col("pos")).alias("at")).withColumn("short", F.col("at") < short)
     prefix = prefix.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     prefix = cut(prefix, "prefix")
     groups = prefix.groupBy("token", "component").agg(F.count(F.lit(1)).alias("_rows"), F.max("short").alias("_short")).groupBy("token").agg(F.max(F.struct("_rows", "component")).alias("_top"), F.count(F.lit(1)).alias("_groups"), F.max("_short").alias("_any"))
     rows = cut(prefix.join(groups.where("_groups > 1 and _any").select("token", F.col("_top.component").alias("_top")), "token").withColumn("top", F.col("component") == F.col("_top")), "rows")
     side = F.explode(F.when(F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
-    small = rows.where("short").select("token", side.alias("top"), *(F.col(c).alias(f"{c}_s") for c in ("id", "n", "at", "component")))
-    large = rows.select("token", "top", *(F.col(c).alias(f"{c}_l") for c in ("id", "n", "at", "component")))
+    carried = ["id", "n", *bits, "alone", "at", "component"]
+    small = rows.where("short").select("token", side.alias("top"), *(F.col(c).alias(f"{c}_s") for c in carried))
+    large = rows.select("token", "top", *(F.col(c).alias(f"{c}_l") for c in carried))
     both = small.join(large, ["token", "top"]).where("component_s <> component_l and (n_s < n_l or n_s = n_l and id_s < id_l)").where(100 * F.col("n_s") >= percent * F.col("n_l"))
     needed = total * (F.least("at_s", "at_l") + F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))) >= percent * (F.col("n_s") + F.col("n_l"))
+    differ = F.expr("alone_s + alone_l + " + " + ".join(f"bit_count({b}_s ^ {b}_l)" for b in bits))
+    needed &= total * (F.col("n_s") + F.col("n_l") - differ) >= 2 * percent * (F.col("n_s") + F.col("n_l"))
     first = both.where(needed).groupBy("id_s", "id_l", "n_s", "n_l").agg(F.min("at_s").alias("at_s"), F.min("at_l").alias("at_l"))
     left = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))
     return first.where(total * left >= percent * (F.col("n_s") + F.col("n_l"))).select(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b"))

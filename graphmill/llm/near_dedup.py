@@ -35,8 +35,8 @@ from graphmill.scratch import cut
 from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, frugal, mix64, ragged, signed, text_slices, words
 
 SLOTS, TREES, LEVELS, NODE = 128, 12, 3, 64
-#: A candidate's estimate may be so much below the threshold (3.4 standard errors at 0.8).
-SLACK = 0.12
+#: A candidate's estimate may be so much below the threshold (5.6 standard errors at 0.8).
+SLACK = 0.2
 #: Above this estimate a pair counts as surely linked when candidates are thinned.
 SURE = 0.95
 _rng = np.random.Generator(np.random.PCG64(8128))

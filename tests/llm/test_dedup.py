@@ -164,5 +164,13 @@ def test_pairs_in_a_large_family_are_found(spark):
     assert {i: c for i, c in found.items() if i != c} == {5000 + k: 29 * k for k in range(40)}
 
 
+def test_an_unlucky_sketch_is_a_candidate(spark):
+    """A pair at 0.8 may agree in 84 of 128 slots only."""
+    same = bytes(range(128))
+    other = same[:84] + bytes(b + 128 for b in same[84:])
+    nodes = spark.createDataFrame([(7, 1, 50, bytearray(same)), (7, 2, 50, bytearray(other))], "node bigint, id bigint, n bigint, sketch binary")
+    assert rows_of(near_dedup.candidate_pairs(nodes, 0.8)) == [(1, 2)]
+
+
 def test_near_duplicates_of_nothing(empty_docs):
     assert near_dedup.near_duplicates(empty_docs).count() == 0

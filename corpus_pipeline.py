@@ -29,13 +29,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each component of likeness 0.8 on five-word shingles, one row an id; rows without an id stay."""
+    """The least id of each component of likeness 0.8 on five-word shingles, one row for each id and text.
+
+    The key of a row is its id. Rows without an id, and the texts of an id but for the one of least hash, get a
+    key of 62 bits from id and text. Rows without an id and without words stay.
+    """
     ensure_shipped(spark)
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), words_each=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("_row", F.when(F.col("doc_id").isNull(), 1).otherwise(one)).where("_row = 1").select(*docs.columns)
+    digest = F.xxhash64("text")
+    unlike = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min(digest).alias("_least"), F.max(digest).alias("_most")).where("_least <> _most").select("_id", "_least"), "unlike")
+    made = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    other = F.col("doc_id").isNull() | (F.col("_least").isNotNull() & (digest != F.col("_least")))
+    keyed = docs.join(unlike, F.col("doc_id") == F.col("_id"), "left").withColumn("_key", F.when(other, made).otherwise(F.col("doc_id").cast("long"))).drop("_id", "_least")
+    found = near_dedup.near_duplicates(keyed.select("_key", "text"), doc_id="_key", words_each=5, percent=80)
+    gone = found.where(~F.col("kept")).select(F.col("_key").alias("_gone")).distinct()
+    left = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    one = F.row_number().over(Window.partitionBy("_key").orderBy(digest))
+    blank = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return left.withColumn("_row", F.when(blank, 1).otherwise(one)).where("_row = 1").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,15 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert corpus_pipeline.drop_near_duplicates(spark, left, DATA).count() == left.count()
 
 
+def test_unlike_texts_of_an_id_and_rows_without_an_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a), (2, d), (3, b), (None, c), (None, c), (None, a + " end"), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "s", "en", 0) for i, t in rows], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    left = [r.text for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()]
+    assert len(left) == 6 and {"", None} < set(left)
+    assert sorted((t or "")[:1] for t in left) == ["", "", "a", "b", "c", "d"]
+
+
 def test_cut_texts_and_counts_agree(spark, docs):
     out = {(r.doc_id, r.source): r for r in corpus_pipeline.cut_repeats(spark, docs, DATA).collect()}
     assert out[(0, "s")].text is None and out[(3, "s")].text == "short"

@@ -9,7 +9,8 @@ score as a share of a perfect one, for all the item or, for items of over PASSAG
 
 Items are a fixed test set: what is shipped to the workers is checked against ITEM_WORDS words and refused beyond.
 Documents are scanned where they are, nothing of them is shuffled but the counts of the items' n-grams.
-Null and empty texts and items match nothing; an item shorter than SEED words has one seed, all its words. Repeated item ids keep their texts apart.
+Null and empty texts and items match nothing; an item shorter than SEED words has one seed, all its words, and
+matches only documents of just these words. Repeated item ids keep their texts apart.
 """
 
 from __future__ import annotations

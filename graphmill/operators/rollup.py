@@ -31,11 +31,11 @@ def nested_counts(outer: DataFrame) -> DataFrame:
     return outer.groupBy("outermost").agg((F.count(F.lit(1)) - 1).alias("nested"))
 
 
-def ancestors(owners: DataFrame, depth: int = 64) -> DataFrame:
+def ancestors(owners: DataFrame) -> DataFrame:
     """(node, ancestor, depth) of a forest, depth 0 is the node itself; doubles the known distance each round."""
     pairs = cut(owners.where("owner is not null").select("node", F.col("owner").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
     reach = 1
-    while reach < depth:
+    while True:
         far = pairs.where(F.col("depth") == reach)
         if far.isEmpty():
             break

@@ -136,4 +136,6 @@ def nearest_binding(scopes: DataFrame, bindings: DataFrame, symbols: DataFrame,
         at = here.where("symbol is null").join(up, ["project", "path", "scope"]).where("parent is not null").select("project", "path", "asked", "name", F.col("parent").alias("scope"))
         if at.isEmpty():
             break
+    else:
+        raise RuntimeError(f"scopes are nested deeper than {depth}")
     return wanted.join(found, ["project", "path", "scope", "name"], "left")

@@ -81,6 +81,12 @@ def test_long_chain_needs_no_recursion():
     assert set(found.values()) == {0}
 
 
+def test_an_owner_far_up_is_found(spark):
+    owners = spark.createDataFrame([(i, i - 1 if i else None) for i in range(140)], "node int, owner int")
+    near = rollup.nearest(rollup.ancestors(owners), spark.createDataFrame([(0,)], "node int"))
+    assert near.where("nearest = 0").count() == 140
+
+
 def test_rollup_and_ancestors(spark):
     # 0 > 1 > 2 > 3, 0 > 4; dead: 1, 2, 3, 4
     owners = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 2), (4, 0)], "node bigint, owner bigint")

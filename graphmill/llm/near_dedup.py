@@ -4,21 +4,24 @@ Each document is the set of its word shingles, summarised by SLOTS minwise token
 every one of TREES independent trees a document walks a chosen path: at a node the path
 so far picks a slot, and the document branches by its minwise token there, so that two
 documents of likeness J stay together with probability J a level. A node that has become small (at
-most NODE documents) is compared exhaustively; larger nodes branch on, up to LEVELS
-times. What is still large then is cut into blocks, each with a few common pivots of its
-node, so no node is ever gathered whole; that links most of a large cluster. All members of
-large nodes then go through an exact prefix-filter join on their full sets, without the pairs that
-are in one component by then. At likeness 0.8 a pair shares a node of depth d in some tree with
-probability 1 - (1 - 0.8**d)**12: 0.99999 for d = 1 and 2, 0.9998 for 3.
-
-Documents with equal sets are one representative from the start. Candidates are
-pairs with a likely likeness (8-bit tokens, SLACK below the threshold); of documents that a chain of very
-likely pairs already connects, only the chain is kept. All candidates are then confirmed
-on the full shingle sets, and components of the confirmed links are found by star rounds.
+most NODE documents) is compared exhaustively; larger nodes branch on, up to LEVELS times. The
+trees are walked twice:
+
+1. To find the bulk of each cluster. Of a document's likely partners in a node only the least id is taken, so that the
+   trees agree on the pairs; a cluster gives a star and not all its pairs. Nodes still large after LEVELS are cut into
+   blocks with a few common pivots. The pairs are confirmed on the full shingle sets and make first components.
+2. With these components contracted. A node is small now if at most NODE documents of it are outside its largest
+   component; that component is cut into blocks, each of which meets all the others. Every likely pair
+   between two components is confirmed on the full sets. Members of nodes that are large even so go
+   through an exact prefix-filter join on their full sets.
+
+No link between two components is skipped by either walk; links within one are not needed. At likeness 0.8 a pair shares a
+node of depth d in some tree with probability 1 - (1 - 0.8**d)**12: 0.99999 for d = 1 and 2, 0.9998 for 3.
+Documents with equal sets are one representative from the start. Components are found by star rounds.
 
 Null and empty texts have an empty set and are linked with nothing; texts with fewer
-words than a shingle are one shingle. Null ids are linked with nothing. Rows of one id
-should have one text; each row gets a result.
+words than a shingle are one shingle. Null ids are linked with nothing. Rows of one id are one document: all its
+texts have its links, and each row gets a result.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, frugal, mix64, ragged,
 SLOTS, TREES, LEVELS, NODE = 128, 12, 3, 64
 #: A candidate's estimate may be so much below the threshold (5.6 standard errors at 0.8).
 SLACK = 0.2
-#: Above this estimate a pair counts as surely linked when candidates are thinned.
-SURE = 0.95
+#: A pair whose estimate is so much above the threshold is likely to be confirmed, and taken in the first walk.
+MARGIN = 0.04
 _rng = np.random.Generator(np.random.PCG64(8128))
 FACTORS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -60,6 +63,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return hashes[new], np.bincount(row[new], minlength=len(counts))
 
 
+def set_codes(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, 0 of an empty one."""
+    some = counts > 0
+    starts = (np.cumsum(counts) - counts)[some]
+    a, b = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
+    if len(starts):
+        mixed = mix64(hashes)
+        a[some] = np.add.reduceat(mixed, starts)
+        b[some] = np.bitwise_xor.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), starts)
+    return a, b
+
+
 def minwise(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """SLOTS minwise tokens (32 bits) per non-empty set."""
     starts = (np.cumsum(counts) - counts)[counts > 0]
@@ -91,13 +106,8 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
             for first, last, data, offsets in text_slices(batch.column(1)):
                 hashes, counts = shingle_sets(data, offsets, size)
                 some = counts > 0
-                starts = (np.cumsum(counts) - counts)[some]
-                mixed = mix64(hashes)
-                a, b = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
+                a, b = set_codes(hashes, counts)
                 tokens = minwise(hashes, counts)
-                if len(starts):
-                    a[some] = np.add.reduceat(mixed, starts)
-                    b[some] = np.bitwise_xor.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), starts)
                 paths = signed(chosen_paths(tokens).reshape(-1))
                 ends = np.cumsum(some.astype(np.int64))
                 sketch = np.ascontiguousarray((tokens & np.uint32(0xFF)).astype(np.uint8))
@@ -109,22 +119,32 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(frugal(run), "id bigint, n bigint, set_a bigint, set_b bigint, paths array<bigint>, sketch binary")
 
 
-def small_nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(node, id) with at most NODE rows a node, or blocks of larger ones, from (id, paths); the ids that are in blocks, if any."""
+def shared_nodes(reps: DataFrame) -> DataFrame:
+    """(id, _k0, _k1, ..): the path of each document in each tree where it shares the first node with another, from (id, paths)."""
     levels = [F.element_at("paths", F.col("_tree") * LEVELS + i + 1).alias(f"_k{i}") for i in range(LEVELS)]
     rows = reps.select("id", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("_tree")).select("id", *levels)
+    several = cut(rows.groupBy(F.col("_k0").alias("_node")).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_node"), "nodes")
+    return cut(rows.join(several, F.col("_k0") == F.col("_node"), "left_semi"), "rows")
+
+
+def _members():
+    """Tells nodes with other members apart; of nodes with the same ones one is enough."""
+    return F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_members")
+
+
+def first_walk(rows: DataFrame) -> DataFrame:
+    """(node, id) with at most NODE rows a node, or blocks of larger ones with common pivots."""
     found: list[DataFrame] = []
     for level in range(LEVELS):
         key = f"_k{level}"
-        # of nodes with the same members one is enough
-        sizes = rows.groupBy(F.col(key).alias("_node")).agg(F.count(F.lit(1)).alias("_size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_members"), F.min("id").alias("_least")).where("_size > 1")
+        sizes = rows.groupBy(F.col(key).alias("_node")).agg(F.count(F.lit(1)).alias("_size"), _members(), F.min("id").alias("_least")).where("_size > 1")
         sizes = cut(sizes, "nodes")
         few = sizes.where(F.col("_size") <= NODE).groupBy("_members", "_size", "_least").agg(F.min("_node").alias("_node")).select("_node")
         found.append(rows.join(few, F.col(key) == F.col("_node")).select(F.col("_node").alias("node"), "id"))
         many = sizes.where(F.col("_size") > NODE)
+        if not many.limit(1).count():
+            return _all(found)
         if level < LEVELS - 1:
-            if not many.limit(1).count():
-                return _all(found), None
             rows = cut(rows.join(many.select("_node"), F.col(key) == F.col("_node"), "left_semi"), "rows")
     blocks = many.withColumn("_blocks", F.ceil(F.col("_size") / (NODE // 2)))
     large = rows.join(blocks, F.col(key) == F.col("_node")).select("_node", "_blocks", "id", F.xxhash64("_node", "id").alias("_draw"))
@@ -133,7 +153,30 @@ def small_nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     pivots = pivots.select("_node", "_blocks", F.explode(F.array_distinct(F.array("a.id", "b.id", "c"))).alias("id"))
     everywhere = pivots.select("_node", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
     found.append(everywhere.select(F.xxhash64("_node", "_block").alias("node"), "id"))
-    return _all(found).distinct(), large.select("id").distinct()
+    return _all(found).distinct()
+
+
+def second_walk(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, id, component): nodes of several components with at most NODE rows outside the largest, which is cut into blocks; the ids that are left in larger nodes, if any."""
+    of = labels.select(F.col("node").alias("_n"), "component")
+    rows = cut(rows.join(of, F.col("id") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "id")).drop("_n"), "rows")
+    found: list[DataFrame] = []
+    for level in range(LEVELS):
+        key = f"_k{level}"
+        each = rows.groupBy(F.col(key).alias("_node"), "component").agg(F.count(F.lit(1)).alias("_rows"), _members())
+        sizes = each.groupBy("_node").agg(F.sum("_rows").alias("_size"), F.count(F.lit(1)).alias("_groups"), F.sum("_members").alias("_members"), F.max(F.struct("_rows", "component")).alias("_top")).where("_groups > 1")
+        sizes = cut(sizes.select("_node", "_size", "_members", F.col("_top._rows").alias("_rows"), F.col("_top.component").alias("_top")), "nodes")
+        outside = F.col("_size") - F.col("_rows")
+        few = sizes.where(outside <= NODE).groupBy("_members", "_size", "_rows", "_top").agg(F.min("_node").alias("_node"))
+        few = few.select("_node", "_top", F.ceil(F.col("_rows") / NODE).alias("_blocks"))
+        some = rows.join(few, F.col(key) == F.col("_node"))
+        block = F.explode(F.when(F.col("component") == F.col("_top"), F.array(F.pmod(F.xxhash64("id"), "_blocks"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).alias("_block")
+        found.append(some.select("_node", "id", "component", block).select(F.xxhash64("_node", "_block").alias("node"), "id", "component"))
+        many = sizes.where(outside > NODE).select("_node")
+        if not many.limit(1).count():
+            return _all(found), None
+        rows = cut(rows.join(many, F.col(key) == F.col("_node"), "left_semi"), "rows")
+    return _all(found), rows.select("id").distinct()
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -143,48 +186,35 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def thinned(first: np.ndarray, second: np.ndarray, estimate: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Which pairs to keep: a forest of the sure ones, and the others between trees of that forest."""
-    parent: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def root(x):
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
-
-    keep = np.zeros(len(first), bool)
-    order = np.argsort(-estimate, kind="stable")
-    for i, a, b, e, k in zip(order.tolist(), first[order].tolist(), second[order].tolist(), estimate[order].tolist(), node[order].tolist(), strict=True):
-        x, y = root((k, a)), root((k, b))
-        if x != y:
-            keep[i] = True
-            if e >= SURE:
-                parent[x] = y
-    return keep
-
+def _compared(nodes: DataFrame, threshold: float, bulk: bool) -> DataFrame:
+    """(a, b) of likely pairs within nodes (node, id, n, sketch, component), a < b, not both of one component.
 
-def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b), a < b, of likely pairs within nodes; ``nodes`` has node, id, n, sketch."""
-    least = threshold - SLACK
+    ``bulk``: for each document its least likely-to-be-confirmed partner only, and (a, a) for each document with some candidate.
+    """
 
-    def compare(node: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(node: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         sizes = np.diff(np.append(cuts, len(node)))
         owner, inside = ragged(sizes)
         later = sizes[owner] - inside - 1
         who, step = ragged(later)
         other = who + step + 1
-        fits = np.minimum(n[who], n[other]) >= threshold * np.maximum(n[who], n[other])
+        fits = (np.minimum(n[who], n[other]) >= threshold * np.maximum(n[who], n[other])) & (component[who] != component[other])
         who, other = who[fits], other[fits]
         estimate = np.empty(len(who))
         for i in range(0, len(who), 1 << 16):
             part = slice(i, i + (1 << 16))
             estimate[part] = (sketch[who[part]] == sketch[other[part]]).mean(axis=1)
         estimate = (estimate - 1 / 256) / (1 - 1 / 256)
-        likely = estimate >= least
+        likely = estimate >= threshold - SLACK
         who, other, estimate = who[likely], other[likely], estimate[likely]
-        keep = thinned(who, other, estimate, owner[who])
-        return np.minimum(ids[who[keep]], ids[other[keep]]), np.maximum(ids[who[keep]], ids[other[keep]])
+        if bulk:
+            sure = estimate >= threshold + MARGIN
+            # ids ascend within a node, so the first partner is the least
+            second, at = np.unique(other[sure], return_index=True)
+            marks = np.unique(np.append(who, other))
+            who, other = np.append(who[sure][at], marks), np.append(second, marks)
+        return np.minimum(ids[who], ids[other]), np.maximum(ids[who], ids[other])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -201,31 +231,47 @@ def candidate_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
             yield from emit(held)
 
     def emit(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SLOTS)
-        a, b = compare(*(table[c].to_numpy(zero_copy_only=False) for c in ("node", "id", "n")), sketch)
-        seen = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0].copy()), pa.array(seen[:, 1].copy())], names=["a", "b"])
+        for first, last in _runs(table["node"].to_numpy(zero_copy_only=False)):
+            part = table.slice(first, last - first)
+            sketch = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+            a, b = compare(*(part[c].to_numpy(zero_copy_only=False) for c in ("node", "id", "n", "component")), sketch)
+            seen = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0].copy()), pa.array(seen[:, 1].copy())], names=["a", "b"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return nodes.repartition(parts, "node").sortWithinPartitions("node", "id").mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
+def _runs(node: np.ndarray, rows: int = 2048) -> Iterator[tuple[int, int]]:
+    """Slices of about ``rows`` rows that hold whole nodes."""
+    ends = np.append(np.flatnonzero(node[1:] != node[:-1]) + 1, len(node))
+    first = 0
+    while first < len(node):
+        last = int(ends[min(np.searchsorted(ends, first + rows), len(ends) - 1)])
+        yield first, last
+        first = last
+
+
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of every row of (_id, _text)."""
+    """(id, set_a, shingles) of every row of (_id, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in text_slices(batch.column(1)):
                 hashes, counts = shingle_sets(data, offsets, size)
+                a, _ = set_codes(hashes, counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(signed(hashes)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(signed(a)), lists], names=["id", "set_a", "shingles"])
 
-    return docs.mapInArrow(frugal(run), "id bigint, shingles array<bigint>")
+    return docs.mapInArrow(frugal(run), "id bigint, set_a bigint, shingles array<bigint>")
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, shingles), once for each id of ``wanted``."""
-    return cut(full_sets(docs.join(wanted.hint("merge"), F.col("_id") == F.col("id"), "left_semi").dropDuplicates(["_id"]), size), "sets")
+def sets_of(wanted: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, shingles), once for each id of ``wanted``; ``reps`` has the document and the set behind each id."""
+    of = wanted.join(reps.select("id", F.col("doc").alias("_doc"), F.col("set_a").alias("_set")), "id")
+    texts = docs.join(of.select(F.col("_doc").alias("_wanted")).distinct().hint("merge"), F.col("_id") == F.col("_wanted"), "left_semi")
+    sets = full_sets(texts.dropDuplicates(["_id", "_text"]), size).withColumnRenamed("id", "_id")
+    return cut(sets.join(of.hint("merge"), (F.col("_id") == F.col("_doc")) & (F.col("set_a") == F.col("_set"))).dropDuplicates(["id"]).select("id", "shingles"), "sets")
 
 
 def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -273,23 +319,67 @@ def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) once the components that ``links`` (u, v) connect are one."""
+    of = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    ends = links
+    for end in ("u", "v"):
+        ends = ends.join(of, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
+    new = cut(connected_components(ends).select(F.col("node").alias("_n"), F.col("component").alias("_c")), "labels")
+    old = labels.join(new, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+    alone = new.join(labels, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("node"), F.col("_c").alias("component"))
+    return cut(old.unionByName(alone), "labels")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words_each: int = 4, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (least id reachable over links), kept (the id is the component's)."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
-    all_rows = cut(summaries(docs, words_each), "summaries")
+    all_rows = cut(summaries(docs, words_each), "summaries").withColumnRenamed("id", "doc")
     sets = ["n", "set_a", "set_b"]
-    equal = cut(all_rows.where("n > 0 and id is not null").groupBy(*sets).agg(F.min("id").alias("rep")), "equal")
-    reps = all_rows.where("n > 0").join(equal.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    nodes, large = small_nodes(reps.select("id", "paths"))
-    pairs = cut(candidate_pairs(nodes.join(reps.select("id", "n", "sketch"), "id"), percent / 100), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    labels = connected_components(confirmed_links(pairs, sets_of(wanted, docs, words_each), percent))
+    named = all_rows.where("n > 0 and doc is not null")
+    # a document with several texts has an id of 62 bits for each of its sets
+    code = F.xxhash64(*sets)
+    unlike = cut(named.groupBy(F.col("doc").alias("_doc")).agg(F.min(code).alias("_a"), F.max(code).alias("_b")).where("_a <> _b").select("_doc"), "unlike")
+    several = unlike.limit(1).count() > 0
+    rows = named.select("doc", *sets).join(unlike, F.col("doc") == F.col("_doc"), "left")
+    made = F.xxhash64("doc", *sets).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = rows.withColumn("id", F.when(F.col("_doc").isNull(), F.col("doc")).otherwise(made))
+    equal = cut(rows.groupBy(*sets).agg(F.min(F.struct("id", "doc")).alias("_rep"), F.min("doc").alias("least")).select(*sets, F.col("_rep.id").alias("rep"), F.col("_rep.doc").alias("_doc"), "least"), "equal")
+    picked = equal.select(F.col("rep").alias("id"), "_doc", F.col("set_a").alias("_set")).hint("merge")
+    reps = all_rows.where("n > 0").join(picked, (F.col("doc") == F.col("_doc")) & (F.col("set_a") == F.col("_set"))).select("id", "doc", *sets, "paths", "sketch").dropDuplicates(["id"])
+
+    def pairs_in(nodes: DataFrame, bulk: bool) -> DataFrame:
+        return cut(_compared(nodes.join(reps.select("id", "n", "sketch"), "id"), percent / 100, bulk), "pairs")
+
+    walks = shared_nodes(reps.select("id", "paths"))
+    pairs = pairs_in(first_walk(walks).withColumn("component", F.col("id")), True)
+    known = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), reps, docs, words_each)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        nonlocal known
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        missing = cut(wanted.join(known, "id", "left_anti"), "missing")
+        if missing.limit(1).count():
+            known = known.unionByName(sets_of(missing, reps, docs, words_each))
+        return cut(confirmed_links(pairs, known, percent), "links")
+
+    links = confirmed(pairs.where("a <> b"))
+    if several:
+        same = rows.where("_doc is not null").join(equal.select(*sets, "rep"), sets).groupBy("doc").agg(F.collect_set("rep").alias("_reps"))
+        links = links.unionByName(same.select(F.array_min("_reps").alias("u"), F.explode("_reps").alias("v")).where("u <> v"))
+    labels = cut(connected_components(links), "labels")
+    nodes, large = second_walk(walks, labels)
+    links = confirmed(pairs_in(nodes, False))
+    if links.limit(1).count():
+        labels = joined(labels, links)
     if large is not None:
-        large_sets = sets_of(large, docs, words_each)
-        more = cut(confirmed_links(cut(prefix_pairs(large_sets, labels, percent), "prefix_pairs"), large_sets, percent), "links")
-        if more.limit(1).count():
-            labels = connected_components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    by_rep = equal.join(labels, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("component"))
+        links = confirmed(cut(prefix_pairs(sets_of(large, reps, docs, words_each), labels, percent), "prefix_pairs"))
+        if links.limit(1).count():
+            labels = joined(labels, links)
+    by_rep = equal.join(labels, F.col("rep") == F.col("node"), "left").select(*sets, "least", F.coalesce("component", "rep").alias("component"))
+    if several:  # the least id of a component may stand behind a made one
+        by_rep = cut(by_rep, "components")
+        by_rep = by_rep.drop("least").join(by_rep.groupBy(F.col("component").alias("_c")).agg(F.min("least").alias("_least")), F.col("component") == F.col("_c")).select(*sets, F.col("_least").alias("component"))
     on = [all_rows[c] == by_rep[c] for c in sets]
-    out = all_rows.join(by_rep, on, "left").select(all_rows["id"].alias("_id"), all_rows["n"].alias("_n"), F.when(all_rows["id"].isNotNull(), F.coalesce("component", all_rows["id"])).alias("_component"))
+    out = all_rows.join(by_rep, on, "left").select(all_rows["doc"].alias("_id"), all_rows["n"].alias("_n"), F.when(all_rows["doc"].isNotNull(), F.coalesce("component", all_rows["doc"])).alias("_component"))
     return out.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_id").eqNullSafe(F.col("_component")).alias("kept"))

@@ -168,8 +168,9 @@ def test_an_unlucky_sketch_is_a_candidate(spark):
     """A pair at 0.8 may agree in 84 of 128 slots only."""
     same = bytes(range(128))
     other = same[:84] + bytes(b + 128 for b in same[84:])
-    nodes = spark.createDataFrame([(7, 1, 50, bytearray(same)), (7, 2, 50, bytearray(other))], "node bigint, id bigint, n bigint, sketch binary")
-    assert rows_of(near_dedup.candidate_pairs(nodes, 0.8)) == [(1, 2)]
+    nodes = spark.createDataFrame([(7, 1, 50, bytearray(same), 1), (7, 2, 50, bytearray(other), 2)], "node bigint, id bigint, n bigint, sketch binary, component bigint")
+    assert rows_of(near_dedup._compared(nodes, 0.8, False)) == [(1, 2)]
+    assert rows_of(near_dedup._compared(nodes.withColumn("component", F.lit(1)), 0.8, False)) == []
 
 
 def test_near_duplicates_of_nothing(empty_docs):

@@ -10,10 +10,14 @@ trees are walked twice:
 1. To find the bulk of each cluster. Of a document's likely partners in a node only the least id is taken, so that the
    trees agree on the pairs; a cluster gives a star and not all its pairs. Nodes still large after LEVELS are cut into
    blocks with a few common pivots. The pairs are confirmed on the full shingle sets and make first components.
-2. With these components contracted. A node is small now if at most NODE documents of it are outside its largest
+2. With these components contracted. A node is small now if at most WIDE documents of it are outside its largest
    component; that component is cut into blocks, each of which meets all the others. Every likely pair
-   between two components is confirmed on the full sets. Members of nodes that are large even so go
-   through an exact prefix-filter join on their full sets.
+   between two components is confirmed on the full sets. Nodes still large after LEVELS branch on for DEEPER levels, some
+   of them twice over, so that a pair at the threshold keeps its chance to share one. Members of
+   nodes that are large even so go through an exact prefix-filter join on their full sets.
+
+Likely pairs are told by 8 bits of each minwise token and by parity bits: BITS of them, each the parity of the shingles
+hashed to it. The bits in which two sets differ are no more than the shingles in which they do, so this drops no link.
 
 No link between two components is skipped by either walk; links within one are not needed. At likeness 0.8 a pair shares a
 node of depth d in some tree with probability 1 - (1 - 0.8**d)**12: 0.99999 for d = 1 and 2, 0.9998 for 3.
@@ -38,6 +42,12 @@ from graphmill.scratch import cut
 from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, frugal, mix64, ragged, signed, text_slices, words
 
 SLOTS, TREES, LEVELS, NODE = 128, 12, 3, 64
+#: Documents outside the largest component of a node that is small in the second walk, and rows of a block of that component.
+WIDE = 512
+BITS = 512
+#: Levels of the second walk below LEVELS, and how many nodes of a hundred branch by two slots there: at likeness 0.8 a
+#: pair is expected in 0.8 * 1.35 = 1.08 children of a node that it shares.
+DEEPER, TWICE = 3, 35
 #: A candidate's estimate may be so much below the threshold (5.6 standard errors at 0.8).
 SLACK = 0.2
 #: A pair whose estimate is so much above the threshold is likely to be confirmed, and taken in the first walk.
@@ -84,6 +94,20 @@ def minwise(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """BITS parity bits of each set, as bytes."""
+    out = np.zeros((len(counts), BITS // 8), np.uint8)
+    ends = np.cumsum(counts)
+    bit = (mix64(hashes) & np.uint64(BITS - 1)).astype(np.int64)
+    for first in range(0, len(counts), 4096):
+        last = min(first + 4096, len(counts))
+        a, b = ends[first] - counts[first], ends[last - 1]
+        row = np.repeat(np.arange(last - first), counts[first:last])
+        odd = np.bincount(row * BITS + bit[a:b], minlength=(last - first) * BITS) & 1
+        out[first:last] = np.packbits(odd.reshape(-1, BITS).astype(bool), axis=1)
+    return out
+
+
 def chosen_paths(tokens: np.ndarray) -> np.ndarray:
     """Node keys (documents x TREES x LEVELS): each level's slot is picked by the node above."""
     out = np.empty((len(tokens), TREES, LEVELS), np.uint64)
@@ -99,7 +123,7 @@ def chosen_paths(tokens: np.ndarray) -> np.ndarray:
 
 
 def summaries(docs: DataFrame, size: int) -> DataFrame:
-    """id, n, set_a and set_b (128 bits of the set), paths, sketch (one byte a slot), for every row of (_id, _text)."""
+    """id, n, set_a and set_b (128 bits of the set), paths, sketch (one byte a slot, then the parity bits), for every row of (_id, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +134,7 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
                 tokens = minwise(hashes, counts)
                 paths = signed(chosen_paths(tokens).reshape(-1))
                 ends = np.cumsum(some.astype(np.int64))
-                sketch = np.ascontiguousarray((tokens & np.uint32(0xFF)).astype(np.uint8))
+                sketch = np.concatenate([(tokens & np.uint32(0xFF)).astype(np.uint8), parities(hashes, counts)[some]], axis=1)
                 sketches = pa.array([None if not s else sketch[e - 1].tobytes() for s, e in zip(some.tolist(), ends.tolist(), strict=True)], pa.binary())
                 width = TREES * LEVELS
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends * width).astype(np.int32)), pa.array(paths))
@@ -156,26 +180,34 @@ def first_walk(rows: DataFrame) -> DataFrame:
     return _all(found).distinct()
 
 
-def second_walk(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(node, id, component): nodes of several components with at most NODE rows outside the largest, which is cut into blocks; the ids that are left in larger nodes, if any."""
+def second_walk(rows: DataFrame, labels: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, id, component): nodes of several components with at most WIDE rows outside the largest, which is cut into blocks; the ids that are left in larger nodes, if any."""
     of = labels.select(F.col("node").alias("_n"), "component")
     rows = cut(rows.join(of, F.col("id") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "id")).drop("_n"), "rows")
     found: list[DataFrame] = []
-    for level in range(LEVELS):
-        key = f"_k{level}"
-        each = rows.groupBy(F.col(key).alias("_node"), "component").agg(F.count(F.lit(1)).alias("_rows"), _members())
+    for level in range(LEVELS + DEEPER):
+        if level < LEVELS:
+            rows = rows.withColumn("_node", F.col(f"_k{level}"))
+        else:
+            if level == LEVELS:
+                rows = rows.select("id", "component", "_node").join(sketches, "id")
+            slot = [F.pmod(F.xxhash64("_node", F.lit(i)), F.lit(SLOTS)).cast("int") for i in (0, 1)]
+            slots = F.when(F.pmod(F.xxhash64("_node", F.lit(2)), F.lit(100)) < TWICE, F.array(*slot)).otherwise(F.array(slot[0]))
+            child = F.xxhash64("_node", "_slot", F.expr("substring(sketch, _slot + 1, 1)"))
+            rows = cut(rows.withColumn("_slot", F.explode(slots)).select("id", "component", "sketch", child.alias("_node")), "rows")
+        each = rows.groupBy("_node", "component").agg(F.count(F.lit(1)).alias("_rows"), _members())
         sizes = each.groupBy("_node").agg(F.sum("_rows").alias("_size"), F.count(F.lit(1)).alias("_groups"), F.sum("_members").alias("_members"), F.max(F.struct("_rows", "component")).alias("_top")).where("_groups > 1")
         sizes = cut(sizes.select("_node", "_size", "_members", F.col("_top._rows").alias("_rows"), F.col("_top.component").alias("_top")), "nodes")
         outside = F.col("_size") - F.col("_rows")
-        few = sizes.where(outside <= NODE).groupBy("_members", "_size", "_rows", "_top").agg(F.min("_node").alias("_node"))
-        few = few.select("_node", "_top", F.ceil(F.col("_rows") / NODE).alias("_blocks"))
-        some = rows.join(few, F.col(key) == F.col("_node"))
+        few = sizes.where(outside <= WIDE).groupBy("_members", "_size", "_rows", "_top").agg(F.min("_node").alias("_node"))
+        few = few.select("_node", "_top", F.ceil(F.col("_rows") / WIDE).alias("_blocks"))
+        some = rows.join(few, "_node")
         block = F.explode(F.when(F.col("component") == F.col("_top"), F.array(F.pmod(F.xxhash64("id"), "_blocks"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).alias("_block")
         found.append(some.select("_node", "id", "component", block).select(F.xxhash64("_node", "_block").alias("node"), "id", "component"))
-        many = sizes.where(outside > NODE).select("_node")
+        many = sizes.where(outside > WIDE).select("_node")
         if not many.limit(1).count():
             return _all(found), None
-        rows = cut(rows.join(many, F.col(key) == F.col("_node"), "left_semi"), "rows")
+        rows = cut(rows.join(many, "_node", "left_semi"), "rows")
     return _all(found), rows.select("id").distinct()
 
 
@@ -186,12 +218,14 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _compared(nodes: DataFrame, threshold: float, bulk: bool) -> DataFrame:
+def _compared(nodes: DataFrame, percent: int, bulk: bool) -> DataFrame:
     """(a, b) of likely pairs within nodes (node, id, n, sketch, component), a < b, not both of one component.
 
     ``bulk``: for each document its least likely-to-be-confirmed partner only, and (a, a) for each document with some candidate.
     """
 
+    threshold = percent / 100
+
     def compare(node: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         sizes = np.diff(np.append(cuts, len(node)))
@@ -201,10 +235,18 @@ def _compared(nodes: DataFrame, threshold: float, bulk: bool) -> DataFrame:
         other = who + step + 1
         fits = (np.minimum(n[who], n[other]) >= threshold * np.maximum(n[who], n[other])) & (component[who] != component[other])
         who, other = who[fits], other[fits]
+        bits = np.ascontiguousarray(sketch[:, SLOTS:]).view(np.uint64)
+        close = np.zeros(len(who), bool)
+        for i in range(0, len(who), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            differ = np.bitwise_count(bits[who[part]] ^ bits[other[part]]).sum(axis=1, dtype=np.int64)
+            close[part] = differ * (100 + percent) <= (n[who[part]] + n[other[part]]) * (100 - percent)
+        who, other = who[close], other[close]
+        tokens = np.ascontiguousarray(sketch[:, :SLOTS])
         estimate = np.empty(len(who))
         for i in range(0, len(who), 1 << 16):
             part = slice(i, i + (1 << 16))
-            estimate[part] = (sketch[who[part]] == sketch[other[part]]).mean(axis=1)
+            estimate[part] = (tokens[who[part]] == tokens[other[part]]).mean(axis=1)
         estimate = (estimate - 1 / 256) / (1 - 1 / 256)
         likely = estimate >= threshold - SLACK
         who, other, estimate = who[likely], other[likely], estimate[likely]
@@ -233,7 +275,7 @@ def _compared(nodes: DataFrame, threshold: float, bulk: bool) -> DataFrame:
     def emit(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, last in _runs(table["node"].to_numpy(zero_copy_only=False)):
             part = table.slice(first, last - first)
-            sketch = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+            sketch = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(-1, SLOTS + BITS // 8)
             a, b = compare(*(part[c].to_numpy(zero_copy_only=False) for c in ("node", "id", "n", "component")), sketch)
             seen = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0].copy()), pa.array(seen[:, 1].copy())], names=["a", "b"])
@@ -268,10 +310,11 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
 def sets_of(wanted: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(id, shingles), once for each id of ``wanted``; ``reps`` has the document and the set behind each id."""
-    of = wanted.join(reps.select("id", F.col("doc").alias("_doc"), F.col("set_a").alias("_set")), "id")
-    texts = docs.join(of.select(F.col("_doc").alias("_wanted")).distinct().hint("merge"), F.col("_id") == F.col("_wanted"), "left_semi")
+    # a table, so that its size is known when the join is planned: a few ids go to the texts, many meet them in a shuffle
+    of = cut(wanted.join(reps.select("id", F.col("doc").alias("_doc"), F.col("set_a").alias("_set")), "id"), "wanted")
+    texts = docs.join(of.select(F.col("_doc").alias("_wanted")), F.col("_id") == F.col("_wanted"), "left_semi")
     sets = full_sets(texts.dropDuplicates(["_id", "_text"]), size).withColumnRenamed("id", "_id")
-    return cut(sets.join(of.hint("merge"), (F.col("_id") == F.col("_doc")) & (F.col("set_a") == F.col("_set"))).dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    return cut(sets.join(of, (F.col("_id") == F.col("_doc")) & (F.col("set_a") == F.col("_set"))).dropDuplicates(["id"]).select("id", "shingles"), "sets")
 
 
 def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -346,34 +389,38 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     rows = rows.withColumn("id", F.when(F.col("_doc").isNull(), F.col("doc")).otherwise(made))
     equal = cut(rows.groupBy(*sets).agg(F.min(F.struct("id", "doc")).alias("_rep"), F.min("doc").alias("least")).select(*sets, F.col("_rep.id").alias("rep"), F.col("_rep.doc").alias("_doc"), "least"), "equal")
     picked = equal.select(F.col("rep").alias("id"), "_doc", F.col("set_a").alias("_set")).hint("merge")
-    reps = all_rows.where("n > 0").join(picked, (F.col("doc") == F.col("_doc")) & (F.col("set_a") == F.col("_set"))).select("id", "doc", *sets, "paths", "sketch").dropDuplicates(["id"])
+    reps = all_rows.where("n > 0").join(picked, (F.col("doc") == F.col("_doc")) & (F.col("set_a") == F.col("_set"))).select("id", "doc", *sets, "paths", "sketch")
+    reps = cut(reps.dropDuplicates(["id"]), "reps")
 
     def pairs_in(nodes: DataFrame, bulk: bool) -> DataFrame:
-        return cut(_compared(nodes.join(reps.select("id", "n", "sketch"), "id"), percent / 100, bulk), "pairs")
+        return cut(_compared(nodes.join(reps.select("id", "n", "sketch"), "id"), percent, bulk), "pairs")
 
     walks = shared_nodes(reps.select("id", "paths"))
     pairs = pairs_in(first_walk(walks).withColumn("component", F.col("id")), True)
     known = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), reps, docs, words_each)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def fetch(wanted: DataFrame) -> None:
         nonlocal known
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        missing = cut(wanted.join(known, "id", "left_anti"), "missing")
+        missing = cut(wanted.distinct().join(known, "id", "left_anti"), "missing")
         if missing.limit(1).count():
             known = known.unionByName(sets_of(missing, reps, docs, words_each))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         return cut(confirmed_links(pairs, known, percent), "links")
 
-    links = confirmed(pairs.where("a <> b"))
+    links = cut(confirmed_links(pairs.where("a <> b"), known, percent), "links")
     if several:
         same = rows.where("_doc is not null").join(equal.select(*sets, "rep"), sets).groupBy("doc").agg(F.collect_set("rep").alias("_reps"))
         links = links.unionByName(same.select(F.array_min("_reps").alias("u"), F.explode("_reps").alias("v")).where("u <> v"))
     labels = cut(connected_components(links), "labels")
-    nodes, large = second_walk(walks, labels)
+    nodes, large = second_walk(walks, labels, reps.select("id", "sketch"))
     links = confirmed(pairs_in(nodes, False))
     if links.limit(1).count():
         labels = joined(labels, links)
     if large is not None:
-        links = confirmed(cut(prefix_pairs(sets_of(large, reps, docs, words_each), labels, percent), "prefix_pairs"))
+        fetch(large)
+        links = confirmed(cut(prefix_pairs(known.join(large, "id", "left_semi"), labels, percent), "prefix_pairs"))
         if links.limit(1).count():
             labels = joined(labels, links)
     by_rep = equal.join(labels, F.col("rep") == F.col("node"), "left").select(*sets, "least", F.coalesce("component", "rep").alias("component"))

@@ -81,7 +81,8 @@ def _segments(docs: DataFrame, size: int) -> DataFrame:
 def _fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The bytes of the wanted segments, from one document that has each."""
     lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("anchor", "whole", "copies", "first", "rel", "windows")).alias("_list"))
-    joined = docs.join(lists, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("hash"))).select("_text", "_list")
+    # of a row that is there many times one copy is enough
+    joined = docs.join(lists, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("hash"))).dropDuplicates(["_id", "_hash"]).select("_text", "_list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,10 +115,6 @@ def _sorted_repeats(bodies: DataFrame, size: int) -> DataFrame:
 
     def solve(table: pa.RecordBatch) -> pa.RecordBatch:
         anchor, whole, copies, rel, windows = (table.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-        keep = np.ones(len(anchor), bool)
-        keep[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])  # a repeated row brings its segments twice
-        table = table.filter(pa.array(keep))
-        anchor, whole, copies, rel, windows = anchor[keep], whole[keep], copies[keep], rel[keep], windows[keep]
         buffer = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8)
         lengths = windows - 1 + size
         base = np.cumsum(lengths) - lengths
@@ -165,7 +162,7 @@ def _counted_repeats(bodies: DataFrame, size: int) -> DataFrame:
                 take = lambda k: part.column(k).to_numpy(zero_copy_only=False)[segment]  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(take(0)), pa.array(take(1)), pa.array(take(2)), pa.array(window.astype(np.int32)), pa.array(signed(hashes))], names=["anchor", "whole", "copies", "low", "content"])
 
-    rows = cut(bodies.dropDuplicates(["anchor", "whole"]).mapInArrow(frugal(run), "anchor bigint, whole bigint, copies bigint, low int, content bigint"), "windows")
+    rows = cut(bodies.mapInArrow(frugal(run), "anchor bigint, whole bigint, copies bigint, low int, content bigint"), "windows")
     many = rows.groupBy("anchor", "content").agg(F.sum("copies").alias("_times")).where("_times >= 2").select(F.col("anchor").alias("_a"), F.col("content").alias("_c"))
     return rows.where("copies = 1").join(many, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")), "left_semi").select("anchor", "whole", "low", F.col("low").alias("high"))
 
@@ -189,7 +186,7 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     lists = whole.unionByName(partial).groupBy(F.col("anchor").alias("_a"), F.col("whole").alias("_w")).agg(F.collect_list(F.struct("low", "high")).alias("_runs"))
     lists = cut(lists, "lists")
     spans = shared.join(lists, (F.col("anchor") == F.col("_a")) & (F.col("whole") == F.col("_w"))).select("id", "hash", "first", F.explode("_runs").alias("_run"))
-    return spans.select("id", "hash", F.struct((F.col("first") + F.col("_run.low")).alias("start"), (F.col("first") + F.col("_run.high") + F.lit(size)).alias("end")).alias("span")).groupBy("id", "hash").agg(F.collect_list("span").alias("spans"))
+    return spans.select("id", "hash", F.struct((F.col("first") + F.col("_run.low")).alias("start"), (F.col("first") + F.col("_run.high") + F.lit(size)).alias("end")).alias("span")).groupBy("id", "hash").agg(F.collect_set("span").alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

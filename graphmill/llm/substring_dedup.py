@@ -16,7 +16,8 @@ Edges are windows of ``size`` words (20), nodes their first and last ``size - 1`
    start earlier (smaller id, or earlier in the text) are removed; the first occurrence stays.
 
 Null and empty texts have no words. Rows with one id and equal text are one document; rows with one
-id and other texts are ordered by a hash of the text. Null ids come first.
+id and other texts are ordered by a hash of the text. Null ids come first, in the order of 62 bits of that hash; ids must be
+over -2**62.
 """
 
 from __future__ import annotations
@@ -35,17 +36,34 @@ from graphmill.llm.textkit import BYTE_CODE, Poly, frugal, minimizer_runs, ragge
 LEAD = 8
 #: Rows that a task looks through for repeats of a minimizer before it passes them on.
 RUN = 400_000
-# place: 21 bits of the text's hash, 32 bits first window, 5 bits minimizer - first window, 5 bits windows - 1
-POS, REL = 10, 5
+# place: 22 bits version of the text, 31 bits first window, 5 bits minimizer - first window, 5 bits windows - 1
+POS, REL, VERSION = 10, 5, 41
+POSITIONS = (1 << (VERSION - POS)) - 1
+#: Unlike texts of one id, at most.
+VERSIONS = 1 << (63 - VERSION)
 
 
 def position(place):
-    return F.shiftright(place, POS).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftright(place, POS).bitwiseAND(F.lit(POSITIONS))
 
 
 def version(place):
-    """The text hash bits of a place."""
-    return F.shiftright(place, 42)
+    """Which of the unlike texts of an id a place is in."""
+    return F.shiftright(place, VERSION)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``_version`` to documents (_id, _hash, ..): 0, or for an id with unlike texts the number of the text in the order of its hash."""
+    several = docs.groupBy("_id").agg(F.min("_hash").alias("_a"), F.max("_hash").alias("_b")).where("_a <> _b").select("_id")
+    several = cut(several, "several")
+    if not several.limit(1).count():
+        return docs.withColumn("_version", F.lit(0).cast("long"))
+    texts = docs.select("_id", "_hash").join(several, "_id", "left_semi").distinct()
+    most = texts.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if most > VERSIONS:
+        raise ValueError(f"an id has {most} unlike texts; at most {VERSIONS} are told apart")
+    numbers = cut(texts.select("_id", "_hash", (F.row_number().over(Window.partitionBy("_id").orderBy("_hash")) - 1).cast("long").alias("_number")), "numbers")
+    return docs.join(numbers, ["_id", "_hash"], "left").withColumn("_version", F.coalesce("_number", F.lit(0).cast("long"))).drop("_number")
 
 
 def super_edges(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -95,7 +113,7 @@ def _repeated(docs: DataFrame, size: int) -> DataFrame:
             for first_row, _, data, offsets in text_slices(batch.column(2)):
                 row, first, rel, windows, lead, whole = super_edges(data, offsets, size)
                 if len(row):
-                    held.append((signed(lead), signed(whole), ids[first_row + row], versions[first_row + row] << 42 | first << POS | rel << REL | windows - 1))
+                    held.append((signed(lead), signed(whole), ids[first_row + row], versions[first_row + row] << VERSION | first << POS | rel << REL | windows - 1))
                     rows += len(row)
                 if rows >= RUN:
                     yield passed_on()
@@ -129,7 +147,7 @@ def _pieces(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(counts)), counts)
                 windows = (place & 31) + 1
                 item, inside = ragged(np.where(opened, windows, 1))
-                at = first[:-1][owner[item]] + (place[item] >> POS & 0xFFFFFFFF) + inside
+                at = first[:-1][owner[item]] + (place[item] >> POS & POSITIONS) + inside
                 each = np.where(opened, 1, windows)[item]
                 content = np.where(opened[item], signed(poly.span(at, at + size)), whole[item])
                 columns = [lead[item], content, signed(poly.span(at, at + size - 1)), signed(poly.span(at + each, at + each + size - 1)), each.astype(np.int32), ids[first_row + owner[item]], (place[item] >> POS << POS) + (inside << POS), copies[item], opened[item]]
@@ -183,7 +201,8 @@ def repeated_passages(docs: DataFrame, size: int) -> DataFrame:
     placed = wholes.select(*columns).unionByName(again.select(*columns))
     start = position("place")
     placed = placed.select("id", version("place").alias("version"), start.alias("start"), (start + F.col("windows")).alias("end"), "path_id", "path_place", (start - F.coalesce("offset", F.lit(0))).alias("_shift"))
-    occurrences = placed.groupBy("id", "version", "path_id", "path_place", "_shift").agg(F.min("start").alias("_s"), F.max("end").alias("_e"), F.sum(F.col("end") - F.col("start")).alias("_sum"), F.collect_list(F.struct("start", "end")).alias("_parts"))
+    occurrences = placed.groupBy("id", "version", "path_id", "path_place", "_shift").agg(F.min("start").alias("_s"), F.max("end").alias("_e"), F.collect_set(F.struct("start", "end")).alias("_parts"))  # a row that is there many times brings its parts as often
+    occurrences = occurrences.withColumn("_sum", F.aggregate("_parts", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"]))
     spans = F.when(F.col("_sum") == F.col("_e") - F.col("_s"), F.array(F.struct(F.col("_s").alias("start"), F.col("_e").alias("end")))).otherwise(F.col("_parts"))
     return occurrences.groupBy("id", "version").agg(F.flatten(F.collect_list(spans)).alias("spans"))
 
@@ -199,9 +218,11 @@ def remove_passages(df: DataFrame, size: int = 20, doc_id: str = "doc_id", text:
     docs = df.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(other, names, strict=True)],
         F.col(f"`{text}`").isNull().alias("_null"),
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("_id"),
+        F.col(f"`{doc_id}`").cast("long").alias("_given"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"),
-    ).withColumn("_version", F.shiftrightunsigned(F.xxhash64("_text"), 43))
+    ).withColumn("_hash", F.xxhash64("_text"))
+    below = F.lit(-(1 << 62) - 1) - F.col("_hash").bitwiseAND(F.lit((1 << 62) - 1))
+    docs = numbered(docs.withColumn("_id", F.coalesce("_given", below)))
     spans = cut(repeated_passages(docs, size), "spans")
     tidy(df.sparkSession)  # the shuffles behind the spans go before the texts are shuffled
     joined = docs.join(spans, (F.col("_id") == F.col("id")) & (F.col("_version") == F.col("version")), "left").select(*names, "_null", "_text", "spans")

@@ -68,17 +68,25 @@ def test_blind_trie_orders_prefixes_and_equals():
     assert shared[1:] == [1, 1, 2, 3, 1]
 
 
-def expected_passages(rows, size):
-    docs = sorted({(d if d is not None else -(2**63), t or "") for d, t, *_ in rows})
+def expected_passages(rows, size, spark=None):
+    """Texts of one id, or of none, go by their hash; only sets of rows where that decides need ``spark``."""
+    if spark is not None:
+        texts = spark.createDataFrame([(t or "",) for _, t, *_ in rows], "t string").distinct().select("t", F.xxhash64("t").alias("h")).collect()
+        code = {r.t: r.h for r in texts}
+    else:
+        code = {t or "": t or "" for _, t, *_ in rows}
+    low = lambda t: -((code[t] if spark is not None else 0) & (2**62 - 1))
+    docs = [(d, t) for *_, d, t in sorted({(d is not None, d or 0, code[t or ""] if d is not None or spark is None else low(t or ""), d, t or "") for d, t, *_ in rows}, key=lambda x: x[:3])]
+    place = {x: i for i, x in enumerate(docs)}
     first = {}
-    for order, (doc, text) in enumerate(docs):
+    for order, (_, text) in enumerate(docs):
         words = text.encode().split()
         for i in range(len(words) - size + 1):
             first.setdefault(tuple(words[i : i + size]), (order, i))
     out = []
     for doc_id, text, *_ in rows:
         words = (text or "").encode().split()
-        order = docs.index((doc_id if doc_id is not None else -(2**63), text or ""))
+        order = place[doc_id, text or ""]
         gone = [False] * len(words)
         for i in range(len(words) - size + 1):
             if first[tuple(words[i : i + size])] != (order, i):
@@ -100,6 +108,30 @@ def test_substring_dedup_with_short_runs_and_an_empty_table(docs, empty_docs, mo
     assert substring_dedup.remove_passages(empty_docs, 20).count() == 0
 
 
+def test_substring_dedup_tells_all_texts_without_an_id_apart(spark):
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for k in range(3000):
+        own = " ".join(f"w{x}" for x in rng.integers(0, 10**9, 12))
+        rows.append((None if k % 2 else 7, f"{own} {passage}" if k % 3 == 0 else own))
+    rows += [rows[0], rows[3]] * 20
+    out = substring_dedup.remove_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 20)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out.collect())
+    assert got == expected_passages(rows, 20, spark)
+    assert sum(n for (_, _, gone, _), n in got.items() if gone) >= 1000 - 1
+
+
+def test_many_copies_of_a_row(spark):
+    text = " ".join(f"w{i % 97}x{i % 31}" for i in range(250))
+    rows = [(1, text)] * 4000 + [(None, text)] * 500 + [(2, "before " + text)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).cache()
+    assert {(r.doc_id, sum(s.end - s.start for s in r.removed)) for r in suffix_dedup.remove_repeats(docs, 400).collect()} == {(1, len(text)), (None, len(text)), (2, len(text))}
+    words = Counter((r.doc_id, r.n_removed) for r in substring_dedup.remove_passages(docs, 20).collect())
+    assert words == {(None, 0): 500, (1, 250): 4000, (2, 250): 1}
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (None, None)}
+
+
 def test_paths_compact_repeated_pieces(spark, texts):
     body = " ".join(f"w{i}" for i in range(300))
     docs = spark.createDataFrame([(1, 0, body), (2, 1, "before " + body + " after")], "_id bigint, _version bigint, _text string")
@@ -137,7 +169,8 @@ def expected_components(rows, size):
 
 @pytest.mark.parametrize("node", [near_dedup.NODE, 2])
 def test_near_duplicates_equal_brute_force(docs, monkeypatch, node):
-    monkeypatch.setattr(near_dedup, "NODE", node)  # 2: trees branch to the end and blocks with pivots are used
+    monkeypatch.setattr(near_dedup, "NODE", node)  # 2: trees branch to the end, and blocks with pivots and the prefix join are used
+    monkeypatch.setattr(near_dedup, "WIDE", node)
     out = near_dedup.near_duplicates(docs, words_each=4)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == expected_components(rows_of(docs), 4)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out.collect())
@@ -168,9 +201,17 @@ def test_an_unlucky_sketch_is_a_candidate(spark):
     """A pair at 0.8 may agree in 84 of 128 slots only."""
     same = bytes(range(128))
     other = same[:84] + bytes(b + 128 for b in same[84:])
-    nodes = spark.createDataFrame([(7, 1, 50, bytearray(same), 1), (7, 2, 50, bytearray(other), 2)], "node bigint, id bigint, n bigint, sketch binary, component bigint")
-    assert rows_of(near_dedup._compared(nodes, 0.8, False)) == [(1, 2)]
-    assert rows_of(near_dedup._compared(nodes.withColumn("component", F.lit(1)), 0.8, False)) == []
+    parity = bytes(near_dedup.BITS // 8)
+    nodes = spark.createDataFrame([(7, 1, 50, bytearray(same + parity), 1), (7, 2, 50, bytearray(other + parity), 2)], "node bigint, id bigint, n bigint, sketch binary, component bigint")
+    assert rows_of(near_dedup._compared(nodes, 80, False)) == [(1, 2)]
+    assert rows_of(near_dedup._compared(nodes.withColumn("component", F.lit(1)), 80, False)) == []
+
+
+def test_all_texts_of_an_id_link(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (5, b), (3, a + " end"), (9, b + " end"), (4, c), (8, d), (8, c + " end"), (2, d + " end"), (11, "alone")]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words_each=4)
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(5, 3), (3, 3), (9, 3), (4, 2), (8, 2), (2, 2), (11, 11)}
 
 
 def test_near_duplicates_of_nothing(empty_docs):

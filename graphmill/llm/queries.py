@@ -31,11 +31,20 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.bpe_round_trip(docs, public_tokenizers.path(VOCABULARY))
 
 
+#: Bytes of the strings that op1 also counts, without removing them: passages of over 50 words are often shorter than 400 bytes.
+SHORTER = 200
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes are removed; ``n_repeated`` counts the bytes that repeated strings of SHORTER bytes cover."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = suffix_dedup.remove_repeats(docs, 400)
+    out = suffix_dedup.remove_repeats(docs, 400, shorter=SHORTER)
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept_bytes")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    n_repeated = F.aggregate("repeated", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    return out.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept_bytes")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"), n_repeated.alias("n_repeated"),
+    )
 
 
 def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,9 +200,13 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, size: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``df`` plus ``removed`` (array of byte spans, maximal and in order), ``kept_bytes`` (binary: the rest) and ``kept_text`` (the rest without characters that were cut through)."""
-    mine = ("removed", "kept_bytes", "kept_text")
+def remove_repeats(df: DataFrame, size: int = 400, doc_id: str = "doc_id", text: str = "text", shorter: int | None = None) -> DataFrame:
+    """All columns of ``df`` plus ``removed`` (array of byte spans, maximal and in order), ``kept_bytes`` (binary: the rest) and ``kept_text`` (the rest without characters that were cut through).
+
+    With ``shorter`` also ``repeated``: the spans that strings of so many bytes cover; nothing of them is removed.
+    """
+    sizes = [size] if shorter is None else [size, shorter]
+    mine = ["removed", "kept_bytes", "kept_text", "repeated"][: 2 + len(sizes)]
     rest = [c for c in df.columns if c not in mine]
     other = [c for c in rest if c != text]
     names = [f"_c{i}" for i in range(len(other))]
@@ -212,20 +216,29 @@ def remove_repeats(df: DataFrame, size: int = 400, doc_id: str = "doc_id", text:
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("_id"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"),
     ).withColumn("_hash", F.xxhash64("_text"))
-    spans = repeated_spans(docs.select("_id", "_hash", "_text"), size)
-    joined = docs.join(spans, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("hash")), "left").select(*names, "_null", "_text", "spans")
+    joined = docs
+    for i, one in enumerate(sizes):
+        spans = repeated_spans(docs.select("_id", "_hash", "_text"), one).select(F.col("id").alias(f"_id{i}"), F.col("hash").alias(f"_hash{i}"), F.col("spans").alias(f"_spans{i}"))
+        if shorter is not None:
+            spans = cut(spans, "spans")  # the tables behind one size go before the next one's are made
+        joined = joined.join(spans, (F.col("_id") == F.col(f"_id{i}")) & (F.col("_hash") == F.col(f"_hash{i}")), "left")
+    joined = joined.select(*names, "_null", "_text", *[f"_spans{i}" for i in range(len(sizes))])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept = [], []
-            for body, found in zip(batch.column(batch.num_columns - 2).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                gone = merged(found or [])
+            given = batch.num_columns - len(sizes)
+            found = [[merged(spans or []) for spans in batch.column(given + i).to_pylist()] for i in range(len(sizes))]
+            kept = []
+            for body, gone in zip(batch.column(given - 1).cast(pa.binary()).to_pylist(), found[0], strict=True):
                 edges = [0, *[x for span in gone for x in span], len(body)]
                 kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                removed.append([{"start": a, "end": b} for a, b in gone])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string())], names=[*names, "_null", "_text", *mine])
+            lists = [pa.array([[{"start": a, "end": b} for a, b in spans] for spans in one], kind) for one in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:given], lists[0], pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()), *lists[1:]], names=[*names, "_null", "_text", *mine])
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes[:-1]), "removed array<struct<start:int,end:int>>", "kept_bytes binary", "kept_text string"])
+    array = "array<struct<start:int,end:int>>"
+    kinds = {"removed": array, "kept_bytes": "binary", "kept_text": "string", "repeated": array}
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes[: len(names) + 2]), *(f"{c} {kinds[c]}" for c in mine)])
     out = joined.mapInArrow(frugal(run), schema)
     given = {c: F.col(n).alias(c) for c, n in zip(other, names, strict=True)} | {text: F.when(~F.col("_null"), F.col("_text")).alias(text)}
     return out.select(*[given[c] for c in rest], *mine)

@@ -48,6 +48,13 @@ def test_suffix_dedup_takes_an_empty_table_and_clashing_columns(docs, empty_docs
     assert suffix_dedup.remove_repeats(clash, 100).count() == docs.count()
 
 
+def test_suffix_dedup_counts_shorter_repeats_beside(docs):
+    out = suffix_dedup.remove_repeats(docs, 400, shorter=100).collect()
+    both = Counter((r.doc_id, len((r.text or "").encode()), sum(s.end - s.start for s in r.removed), sha256(bytes(r.kept_bytes)).hexdigest()) for r in out)
+    assert both == expected_suffix(rows_of(docs), 400)
+    assert Counter((r.doc_id, sum(s.end - s.start for s in r.repeated)) for r in out) == sum((Counter({(d, gone): n}) for (d, _, gone, _), n in expected_suffix(rows_of(docs), 100).items()), Counter())
+
+
 def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(5)
     body = np.concatenate([rng.integers(97, 99, 60), np.full(80, 97), rng.integers(97, 99, 60), np.full(80, 97)]).astype(np.uint8)

@@ -1,13 +1,16 @@
 """What a build script says: module names and the files they stand for, root files, test roots.
 
 The script is read, not run. Values are followed by name (a variable holds the last module or path that is given to it
-in its block), through helpers that return a module or a record of modules, through option records that a
+in its block; a name that its block doesn't explain, as an unknown parameter, takes the module or path of that name
+anywhere in the file), through helpers that return a module or a record of modules, through option records that a
 helper forwards, and through literal tables that a loop walks. What depends on a condition keeps every candidate.
+Functions that no call leads to, those in structs included, are read with unknown parameters.
 """
 
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from graphmill.frontend.lexer import string_value
@@ -54,7 +57,19 @@ class Module:
     path: str | None
 
 
-ROOT_CALLS = {"addTest": "test", "addExecutable": "exe", "addLibrary": "library", "addStaticLibrary": "library", "addSharedLibrary": "library", "addObject": "exe"}
+@dataclass(frozen=True)
+class Function:
+    """A function as a value: the script that declares it, and its declaration."""
+
+    script: Script
+    node: Node
+
+
+#: Asked for a helper of a file that is not at hand: (import path, function) -> the root file of the module it returns, or None.
+HelperResolver = Callable[[str, str], "str | None"]
+
+#: The calls that make a root.
+ROOT_CALLS = {"addTest": "test", "addExecutable": "exe", "addLibrary": "library"}
 
 
 class Script:
@@ -66,31 +81,54 @@ class Script:
         self.functions: dict[str, Node] = {}
         self.constants: dict[str, Node] = {}
         self.imports: dict[str, Script] = {}
+        self.absent: dict[str, str] = {}  # files that are not at hand
+        self.bound: dict[str, list[Node]] = {}  # what is given to a name anywhere: modules and paths
         for node in self.tree.nodes:
             if node.kind == "fn_decl" and node.proto.name is not None:
                 self.functions.setdefault(self.tree.name(node.proto.name), node)
         for node in self.tree.root.members:
             if node.kind == "var" and node.init is not None:
                 self.constants.setdefault(self.tree.name(node.name), node.init)
+        for node in self.tree.nodes:
+            if node.kind == "var" and node.init is not None and node.init.kind == "call" and node.init.callee.kind == "field_access" and self.tree.name(node.init.callee.name) in ("createModule", "path"):
+                self.bound.setdefault(self.tree.name(node.name), []).append(node.init)
         for node in self.tree.nodes:
             if node.kind == "var" and node.init is not None and node.init.kind == "builtin" and self.tree.text(node.init.token) == "@import" and node.init.args and node.init.args[0].kind == "string":
                 spec = string_value(self.tree.text(node.init.args[0].token))
                 target = posixpath.normpath(posixpath.join(posixpath.dirname(path), spec))
                 if spec.endswith(".zig") and target in files:
                     self.imports[self.tree.name(node.name)] = loaded.get(target) or Script(files, target, loaded)
+                elif spec.endswith(".zig"):
+                    self.absent[self.tree.name(node.name)] = spec
+
+    def member(self, container: Node, name: str) -> Node | None:
+        """The function or value of that name declared in a struct."""
+        for m in container.members:
+            if m.kind == "fn_decl" and m.proto.name is not None and self.tree.name(m.proto.name) == name:
+                return m
+            if m.kind == "var" and m.init is not None and self.tree.name(m.name) == name:
+                return m.init
+        return None
 
 
 class Evaluator:
     """Follows values through one function body at a time; effects go to ``graph``."""
 
-    def __init__(self, graph: BuildGraph):
-        self.graph = graph
-        self.depth = 0
+    def __init__(self, graph: BuildGraph, helpers: HelperResolver | None = None):
+        self.graph, self.helpers = graph, helpers
+        self.open: set[tuple[str, int]] = set()  # functions and names that are being followed
+        self.ran: set[tuple[str, int]] = set()
 
-    def run(self, script: Script) -> None:
-        entry = script.functions.get("build")
+    def run(self, scripts: dict[str, Script], path: str) -> None:
+        """The entry first, then what it does not lead to."""
+        first = scripts[path]
+        entry = first.functions.get("build")
         if entry is not None:
-            self.block(script, entry.body, [{}])
+            self.enter(first, entry, [])
+        for script in scripts.values():
+            for node in script.tree.nodes:
+                if node.kind == "fn_decl" and (script.path, node.id) not in self.ran:
+                    self.enter(script, node, [])
 
     # -- statements
     def block(self, script: Script, node: Node, scopes: list[dict[str, object]]) -> object:
@@ -160,14 +198,12 @@ class Evaluator:
         if node.kind == "string":
             return string_value(tree.text(node.token)) if not node.get("multiline") else None
         if node.kind == "number":
-            return tree.text(node.token)
+            try:
+                return str(int(tree.text(node.token).replace("_", ""), 0))
+            except ValueError:
+                return tree.text(node.token)
         if node.kind == "identifier":
-            name = tree.name(node.token)
-            for scope in reversed(scopes):
-                if name in scope:
-                    return scope[name]
-            constant = script.constants.get(name)
-            return self.value(script, constant, [{}]) if constant is not None and constant.kind != "identifier" else None
+            return self.named(script, tree.name(node.token), scopes)
         if node.kind == "struct_init":
             return self.record({tree.name(n): self.value(script, v, scopes) for n, v in zip(node.names, node.values, strict=True)}, node)
         if node.kind == "array_init":
@@ -203,6 +239,39 @@ class Evaluator:
             return next((v for v in values if v is not None), None)
         return None
 
+    def named(self, script: Script, name: str, scopes: list[dict[str, object]]) -> object:
+        found = next((scope[name] for scope in reversed(scopes) if name in scope), None)
+        key = (f"{script.path}\0{name}", -1)
+        if found is not None or key in self.open:
+            return found
+        self.open.add(key)
+        try:
+            if not any(name in scope for scope in scopes):
+                if name in script.constants:
+                    return self.value(script, script.constants[name], [{}])
+                if name in script.functions:
+                    return Function(script, script.functions[name])
+            return next((v for v in (self.value(script, init, [{}]) for init in script.bound.get(name, ())) if isinstance(v, str) or isinstance(v, Module) and v.path is not None), None)
+        finally:
+            self.open.discard(key)
+
+    def declared(self, script: Script, node: Node) -> tuple[Script, Node] | None:
+        """The declaration that a dotted name of imports and structs stands for; a file's is its root."""
+        tree = script.tree
+        if node.kind == "identifier":
+            name = tree.name(node.token)
+            if name in script.imports:
+                return script.imports[name], script.imports[name].tree.root
+            constant = script.constants.get(name)
+            return (script, constant) if constant is not None and constant.kind == "container" else None
+        if node.kind != "field_access":
+            return None
+        base = self.declared(script, node.base)
+        if base is None:
+            return None
+        found = base[0].member(base[1], tree.name(node.name))
+        return (base[0], found) if found is not None else None
+
     def record(self, parts: dict[str, object], node: Node) -> object:
         """An option record; one with a path and a mode names a test runner, one with a path alone stands for that path."""
         if "mode" in parts and isinstance(parts.get("path"), str):
@@ -224,13 +293,21 @@ class Evaluator:
     def call(self, script: Script, node: Node, scopes: list[dict[str, object]]) -> object:
         tree, callee = script.tree, node.callee
         if callee.kind == "identifier":
-            return self.invoke(script, script.functions.get(tree.name(callee.token)), node, script, scopes)
+            held = self.named(script, tree.name(callee.token), scopes)
+            function = held if isinstance(held, Function) else Function(script, script.functions.get(tree.name(callee.token)))
+            return self.invoke(function.script, function.node, node, script, scopes)
         if callee.kind != "field_access":
             return None
         name = tree.name(callee.name)
-        if callee.base.kind == "identifier" and tree.name(callee.base.token) in script.imports:
-            other = script.imports[tree.name(callee.base.token)]
-            return self.invoke(other, other.functions.get(name), node, script, scopes)
+        found = self.declared(script, callee)
+        if found is not None and found[1].kind == "fn_decl":
+            return self.invoke(*found, node, script, scopes)
+        if found is not None and found[1].kind == "identifier":
+            held = self.named(found[0], found[0].tree.name(found[1].token), [{}])
+            return self.invoke(held.script, held.node, node, script, scopes) if isinstance(held, Function) else None
+        if callee.base.kind == "identifier" and tree.name(callee.base.token) in script.absent:
+            path = self.helpers(script.absent[tree.name(callee.base.token)], name) if self.helpers is not None else None
+            return Module(posixpath.normpath(path)) if path is not None else None
         receiver = self.value(script, callee.base, scopes)
         args = [self.value(script, a, scopes) for a in node.args]
         if name in ("path", "pathFromRoot") and args:
@@ -266,27 +343,33 @@ class Evaluator:
     def invoke(self, script: Script, function: Node | None, call: Node, caller: Script, scopes: list[dict[str, object]]) -> object:
         """Runs a helper's body with the caller's arguments by position."""
         args = [self.value(caller, a, scopes) for a in call.args]
-        if function is None or self.depth >= 8:
+        return self.enter(script, function, args) if function is not None else None
+
+    def enter(self, script: Script, function: Node, args: list[object]) -> object:
+        """A function's body; one that is being followed already (a recursive call) gives nothing."""
+        key = (script.path, function.id)
+        if key in self.open or function.body is None:
             return None
         frame = {}
-        for p, value in zip(function.proto.params, args, strict=False):
+        for i, p in enumerate(function.proto.params):
             if p.name is not None:
-                frame[script.tree.name(p.name)] = value
-        self.depth += 1
+                frame[script.tree.name(p.name)] = args[i] if i < len(args) else None
+        self.open.add(key)
+        self.ran.add(key)
         try:
             return self.block(script, function.body, [frame])
         finally:
-            self.depth -= 1
+            self.open.discard(key)
 
 
-def scan_build_script(files: dict[str, str], path: str = "build.zig") -> BuildGraph:
-    """The build graph of a project; empty without a script."""
+def scan_build_script(files: dict[str, str], path: str = "build.zig", helpers: HelperResolver | None = None) -> BuildGraph:
+    """The build graph of a project; empty without a script. ``helpers`` is asked for what lies in files that are not at hand."""
     graph = BuildGraph()
     if path not in files:
         return graph
     loaded: dict[str, Script] = {}
-    script = Script(files, path, loaded)
-    Evaluator(graph).run(script)
+    Script(files, path, loaded)
+    Evaluator(graph, helpers).run(loaded, path)
     graph.scripts = list(loaded)
     for kind in ("executables", "libraries", "tests"):
         setattr(graph, kind, list(dict.fromkeys(posixpath.normpath(p) for p in getattr(graph, kind))))

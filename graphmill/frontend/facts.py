@@ -67,9 +67,9 @@ def is_reportable(symbol: Symbol, resolver: Resolver) -> bool:
     return not scope & {"function", "test"} and bool(scope & {"top", "struct", "enum", "union"})
 
 
-def project_rows(name: str, files: dict[str, str], roots: list[str] | None = None, policy: str | None = None) -> Iterator[dict]:
-    """All facts of one project; with ``roots`` it is loaded from these files, else from its build script."""
-    project = Project.from_roots(files, roots) if roots else Project.from_build(files)
+def project_rows(name: str, files: dict[str, str], roots: list[str] | None = None, policy: str | None = None, contract: str | None = None) -> Iterator[dict]:
+    """All facts of one project; with ``roots`` it is loaded from these files, else from its build script and the contract of that name."""
+    project = Project.from_roots(files, roots) if roots else Project.from_build(files, contract=contract)
     resolver = Resolver(project)
     sid = lambda s: node_id(name, s)
     place = {path: i for i, path in enumerate(project.units)}

@@ -9,11 +9,6 @@ from graphmill.frontend.lexer import string_value
 from graphmill.frontend.syntax import Node, Tree
 
 
-def contract_name(path: str) -> bool:
-    """A contract lies beside the build script: a dot file in object notation, whatever its stem."""
-    return path.startswith(".") and path.endswith(".zon") and "/" not in path
-
-
 def parse_object(text: str) -> tuple[Tree, Node | None]:
     """The tree of a bare object literal; None where it is empty or broken."""
     tree = Tree(b"const value = " + text.strip().encode() + b";")

@@ -46,6 +46,11 @@ def names_of(a: Column, names: tuple[str, ...]) -> Column:
     return F.filter(F.array(*[F.when(a.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
 
 
+def to_json(a: Column, names: tuple[str, ...]) -> Column:
+    """The set flags as a JSON array of names, in bit order."""
+    return F.to_json(names_of(a, names))
+
+
 def member_use(flags: Column, use: str) -> Column:
     """A reference with this use (read, write, call, type) through a member access."""
     return contains(flags, F.lit(bits({use, "member"}, REFERENCE_FLAGS)))

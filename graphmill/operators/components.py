@@ -7,62 +7,67 @@ each colour's node within the colour; repeat on what is left.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.operators.reach import SMALL, closure
+from graphmill.operators.reach import SMALL, adjacency, closure
 from graphmill.scratch import cut
 
 
-def strong_components(nodes: list[int], edges: dict[int, list[int]]) -> dict[int, int]:
-    """Node -> least member of its component (depth-first with an explicit stack)."""
-    number: dict[int, int] = {}
-    low: dict[int, int] = {}
-    out: dict[int, int] = {}
+def strong_components(offsets: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """The least member of each node's component; node i has the targets[offsets[i]:offsets[i + 1]] (depth-first with an explicit stack)."""
+    n = len(offsets) - 1
+    first, to = offsets.tolist(), targets.tolist()
+    number, low, at = [-1] * n, [0] * n, first[:n]
+    out = [-1] * n
     path: list[int] = []
-    for root in nodes:
-        if root in number:
+    count = 0
+    for root in range(n):
+        if number[root] >= 0:
             continue
-        number[root] = low[root] = len(number)
+        number[root] = low[root] = count
+        count += 1
         path.append(root)
-        work = [(root, iter(edges.get(root, ())))]
+        work = [root]
         while work:
-            node, targets = work[-1]
-            for target in targets:
-                if target not in number:
-                    number[target] = low[target] = len(number)
+            node = work[-1]
+            if at[node] < first[node + 1]:
+                target = to[at[node]]
+                at[node] += 1
+                if number[target] < 0:
+                    number[target] = low[target] = count
+                    count += 1
                     path.append(target)
-                    work.append((target, iter(edges.get(target, ()))))
-                    break
-                if target not in out:
-                    low[node] = min(low[node], number[target])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == number[node]:
-                    members = [path.pop()]
-                    while members[-1] != node:
-                        members.append(path.pop())
-                    least = min(members)
-                    out.update((m, least) for m in members)
-    return out
+                    work.append(target)
+                elif out[target] < 0 and number[target] < low[node]:
+                    low[node] = number[target]
+                continue
+            work.pop()
+            if work and low[node] < low[work[-1]]:
+                low[work[-1]] = low[node]
+            if low[node] == number[node]:
+                start = len(path) - 1
+                while path[start] != node:
+                    start -= 1
+                members = path[start:]
+                del path[start:]
+                least = min(members)
+                for m in members:
+                    out[m] = least
+    return np.array(out, np.int64)
 
 
 def _in_one_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = edges.select("src", "dst").unionByName(nodes.select(F.col("node").alias("src"), F.lit(None).cast("bigint").alias("dst")))
 
     def run(table: pa.Table) -> pa.Table:
-        found: dict[int, list[int]] = {}
-        names: set[int] = set()
-        for a, b in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
-            names.add(a)
-            if b is not None:
-                names.add(b)
-                found.setdefault(a, []).append(b)
-        components = strong_components(sorted(names), found)
-        return pa.table({"node": pa.array(list(components), pa.int64()), "component": pa.array(list(components.values()), pa.int64())})
+        edge = table["dst"].is_valid().to_numpy()
+        source, target = table["src"].to_numpy(), table["dst"].fill_null(0).to_numpy()
+        names, inverse = np.unique(np.concatenate([source, target[edge]]), return_inverse=True)
+        component = strong_components(*adjacency(inverse[: len(source)][edge], inverse[len(source) :], len(names)))
+        return pa.table({"node": names, "component": names[component]})
 
     return rows.groupBy(F.lit(1).alias("_all")).applyInArrow(run, "node bigint, component bigint")
 

@@ -39,7 +39,8 @@ def _closure(start: np.ndarray, offsets: np.ndarray, targets: np.ndarray, seen:
         seen[frontier] = True
 
 
-def _adjacency(source: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def adjacency(source: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, targets): the targets of node i are targets[offsets[i]:offsets[i + 1]]."""
     order = np.argsort(source, kind="stable")
     return np.concatenate([[0], np.cumsum(np.bincount(source, minlength=n))]), target[order]
 
@@ -52,12 +53,12 @@ def solve(source: np.ndarray, target: np.ndarray, kind: np.ndarray, roots: np.nd
     sure = kind < 2
     reached = np.zeros(n, bool)
     reached[roots] = True
-    _closure(roots, *_adjacency(source[sure], target[sure], n), reached)
+    _closure(roots, *adjacency(source[sure], target[sure], n), reached)
     seeds = np.unique(target[~sure & reached[source]])
     seeds = seeds[~reached[seeds]]
     either = reached.copy()
     either[seeds] = True
-    _closure(seeds, *_adjacency(source, target, n), either)
+    _closure(seeds, *adjacency(source, target, n), either)
     return names[reached], names[either & ~reached]
 
 

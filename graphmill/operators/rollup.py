@@ -53,6 +53,23 @@ def nearest(ancestry: DataFrame, marked: DataFrame) -> DataFrame:
     return ancestry.select("node").distinct().join(best, "node", "left")
 
 
+def nearest_marked(owners: DataFrame, marked: DataFrame) -> DataFrame:
+    """(node, nearest): the closest owner among ``marked`` (node), the node itself included, NULL where there is none.
+
+    Pointer jumping again: a marked node is its own answer, any other points at its owner; each round an open pointer takes what its
+    target has. One row a node, and as many rounds as the logarithm of the depth.
+    """
+    names = marked.select(F.col("node").alias("_marked")).distinct()
+    known = owners.select("node", "owner").join(names, F.col("node") == F.col("_marked"), "left")
+    open_ = F.col("_marked").isNull() & F.col("owner").isNotNull()
+    pointers = cut(known.select("node", F.col("_marked").alias("nearest"), F.when(open_, F.col("owner")).alias("up")), "pointers")
+    while not pointers.where("up is not null").isEmpty():
+        above = pointers.select(F.col("node").alias("_via"), F.col("nearest").alias("_nearest"), F.col("up").alias("_up"))
+        jumped = pointers.join(above, F.col("up") == F.col("_via"), "left")
+        pointers = cut(jumped.select("node", F.coalesce("nearest", "_nearest").alias("nearest"), F.col("_up").alias("up")), "pointers")
+    return pointers.select("node", "nearest")
+
+
 def first_match(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each group in the given order; ties are the caller's to exclude."""
     place = Window.partitionBy(*by).orderBy(*order)

@@ -20,15 +20,15 @@ def fixture_files(spark: SparkSession) -> DataFrame:
 
 
 def _facts(spark: SparkSession, fact: str) -> DataFrame:
-    return extract_facts(fixture_files(spark)).where(F.col("fact") == fact)
+    return extract_facts(fixture_files(spark), fixtures.CONTRACT).where(F.col("fact") == fact)
 
 
 def _analysis(spark: SparkSession) -> Analysis:
-    return analyze(fixture_files(spark))
+    return analyze(fixture_files(spark), fixtures.CONTRACT)
 
 
 def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analysis(spark).findings.select("project", "path", "name", "class", "nested", "cycle_size")
+    return _analysis(spark).findings.select("project", "path", "line", "col", "kind", "name", "class", "nested", "cycle_size", "cycle")
 
 
 def code_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,20 +37,23 @@ def code_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strongest kind of the edges that the fixtures ask about, by name."""
+    """The strongest kind of each edge, by name."""
     edges = _facts(spark, "edge").select("project", F.col("name").alias("user"), F.substring_index("detail", ":", -1).alias("used"), "kind")
     best = edges.groupBy("project", "user", "used").agg(F.min(kind_code(F.col("kind"))).alias("_best"))
-    asked = spark.createDataFrame([e[:3] for e in fixtures.EDGES], "project string, user string, used string")
-    return best.join(asked, ["project", "user", "used"], "left_semi").select("project", "user", "used", F.element_at(F.array(*map(F.lit, KINDS)), F.col("_best") + 1).alias("kind"))
+    return best.select("project", "user", "used", F.element_at(F.array(*map(F.lit, KINDS)), F.col("_best") + 1).alias("kind"))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = sorted({p for p, *_ in fixtures.FILES})
-    return _facts(spark, "file").where(F.col("project").isin(asked)).select("project", "path", F.col("kind").alias("status"))
+    return _facts(spark, "file").select("project", "path", F.col("kind").alias("status"))
 
 
 def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, "unresolved").select("project", "path", F.col("name").alias("specifier"), F.col("kind").alias("reason")).where("project in ('two_files', 'full_build')")
+    return _facts(spark, "unresolved").select("project", "path", F.col("name").alias("specifier"), F.col("kind").alias("reason"))
+
+
+def code_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports that do not resolve, counted by reason."""
+    return _analysis(spark).unresolved_counts()
 
 
 def code_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +65,7 @@ def code_build_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots, symbols = _facts(spark, "root"), _facts(spark, "symbol")
-    functions = symbols.where("kind = 'fn'").select("sid")
-    return roots.join(functions, "sid", "left_semi").select("project", "name", "kind").distinct()
+    return _facts(spark, "root").select("project", "name", "kind").distinct()
 
 
 def code_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +77,8 @@ def code_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([f[:2] for f in fixtures.FLAGS], "project string, name string")
-    return _facts(spark, "symbol").join(asked, ["project", "name"], "left_semi").select("project", "name", F.col("detail").alias("flags")).distinct()
+    """All symbols with kind, place and flags."""
+    return _facts(spark, "symbol").select("project", "path", "name", "kind", "line", "col", F.col("detail").alias("flags"))
 
 
 def _one(spark: SparkSession, project: str) -> DataFrame:
@@ -101,25 +102,24 @@ def code_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who owns the uses of a name: references joined to the owners of their nodes."""
     files = fixture_files(spark)
-    asked = spark.createDataFrame([o[:2] for o in fixtures.OWNERS], "project string, name string")
     owners = fact_table(files, "nodes").select("project", "path", "node", "owner")
     names = fact_table(files, "symbols").select("project", "path", F.col("symbol").alias("owner"), F.col("name").alias("owner_name"))
-    uses = fact_table(files, "references").where("symbol is not null").join(asked, ["project", "name"], "left_semi").join(owners, ["project", "path", "node"])
+    uses = fact_table(files, "references").where("symbol is not null").join(owners, ["project", "path", "node"])
     return uses.join(names, ["project", "path", "owner"], "left").select("project", "name", F.coalesce("owner_name", F.lit("")).alias("owner")).distinct()
 
 
 def code_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = cut(extract_facts(fixture_files(spark)), "facts")
-    symbols = facts.where("fact = 'symbol'").select(F.col("sid").alias("node"), "project", "name")
+    """Components of everything that may be reported."""
+    facts = cut(extract_facts(fixture_files(spark), fixtures.CONTRACT), "facts")
+    symbols = facts.where("fact = 'symbol'").select(F.col("sid").alias("node"), "project", "name", "reportable")
     found = components.components(symbols, facts.where("fact = 'edge'").select(F.col("sid").alias("src"), F.col("other").alias("dst"), "kind"))
-    asked = spark.createDataFrame([c[:2] for c in fixtures.CYCLES], "project string, name string")
-    return found.join(symbols, "node").join(asked, ["project", "name"], "left_semi").select("project", "name", "n", F.col("cyclic").cast("int").alias("cyclic"))
+    return found.join(symbols.where("reportable"), "node").select("project", "name", "n", F.col("cyclic").cast("int").alias("cyclic"))
 
 
 def code_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What production reaches of everything that may be reported."""
     result = _analysis(spark)
-    asked = spark.createDataFrame([v[:2] for v in fixtures.VERDICTS], "project string, name string")
-    symbols = result.of("symbol").join(asked, ["project", "name"], "left_semi").select("project", "name", F.col("sid").alias("node"))
+    symbols = result.of("symbol").where("reportable and candidate").select("project", "name", F.col("sid").alias("node"))
     verdict = F.when(F.col("possible"), "possible").when(~F.col("possible"), "reached").otherwise("dead")
     return symbols.join(result.reached, "node", "left").select("project", "name", verdict.alias("verdict"))
 
@@ -129,18 +129,20 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
 
 
-QUERIES = {f.__name__: f for f in (code_findings, code_report, code_edges, code_files, code_imports, code_modules, code_build_roots, code_roots, code_contract, code_exit, code_flags, code_tokens, code_references, code_scopes, code_owners, code_cycles, code_verdicts)}
+QUERIES = {f.__name__: f for f in (code_findings, code_report, code_edges, code_files, code_imports, code_unresolved, code_modules, code_build_roots, code_roots, code_contract, code_exit, code_flags, code_tokens, code_references, code_scopes, code_owners, code_cycles, code_verdicts)}
 ORACLES = {
-    "code_findings": _values(fixtures.FINDINGS, "project, path, name, class, nested, cycle_size"),
+    "code_findings": _values(fixtures.FINDINGS, "project, path, line, col, kind, name, class, nested, cycle_size, cycle"),
+    "code_report": _values(fixtures.REPORT, "project, class, text"),
     "code_edges": _values(fixtures.EDGES, '"project", "user", "used", "kind"'),
     "code_files": _values(fixtures.FILES, "project, path, status"),
     "code_imports": _values(fixtures.UNRESOLVED, "project, path, specifier, reason"),
+    "code_unresolved": _values(fixtures.REASONS, "project, reason, n"),
     "code_modules": _values(fixtures.MODULES, "project, name, path"),
     "code_build_roots": _values(fixtures.BUILD_ROOTS, "project, kind, path"),
     "code_roots": _values(fixtures.ROOTS, "project, name, kind"),
     "code_contract": _values(fixtures.STALE, "project, spec, missing"),
     "code_exit": _values(fixtures.EXIT_CODES, "project, exit_code"),
-    "code_flags": _values(fixtures.FLAGS, "project, name, flags"),
+    "code_flags": _values(fixtures.SYMBOLS, "project, path, name, kind, line, col, flags"),
     "code_tokens": _values(fixtures.TOKENS, "tag, n"),
     "code_references": _values(fixtures.REFERENCES, "name, uses, n"),
     "code_scopes": _values(fixtures.SCOPES, "flags, n"),

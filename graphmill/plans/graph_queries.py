@@ -15,6 +15,11 @@ def reach_definite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("not possible").select("node")
 
 
+def reach_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both closures by the frontier loop, whatever the size of the graph."""
+    return reach.reachability(t.part_edges(spark, sf_dir), t.part_roots(spark, sf_dir), small=0)
+
+
 def reach_possible(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reach.reachability(t.part_edges(spark, sf_dir), t.part_roots(spark, sf_dir))
     return found.where("possible").select("node")
@@ -75,7 +80,7 @@ def nested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest live owner of every node of the ownership tree, itself included."""
     tree = cut(t.ownership(spark, sf_dir), "tree")
-    return rollup.nearest(rollup.ancestors(tree.select("node", "owner")), tree.where("not dead").select("node"))
+    return rollup.nearest_marked(tree.select("node", "owner"), tree.where("not dead").select("node"))
 
 
 def edge_dedup_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +161,11 @@ _ALL_LINKS = """WITH links AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (reach_definite, reach_possible, classify_parts, class_counts, scc_components, scc_cyclic, cycle_report, report_sorted, owner_outermost, nested_counts, nearest_ancestor, edge_dedup_kinds, best_kind, file_status, orphans, library_closure, roots_union, exit_code)
+    for f in (reach_definite, reach_in_rounds, reach_possible, classify_parts, class_counts, scc_components, scc_cyclic, cycle_report, report_sorted, owner_outermost, nested_counts, nearest_ancestor, edge_dedup_kinds, best_kind, file_status, orphans, library_closure, roots_union, exit_code)
 }
 ORACLES = {
     "reach_definite": f"{_REC} SELECT node FROM reached",
+    "reach_in_rounds": f"{_REC} SELECT node, false AS possible FROM reached UNION ALL SELECT node, true FROM possible",
     "reach_possible": f"{_REC} SELECT node FROM possible",
     "classify_parts": f"{_REC} SELECT node, class FROM classes",
     "class_counts": f"{_REC} SELECT k.class AS class, count(c.node) AS n FROM (VALUES ('live'), ('possible'), ('test_only'), ('dead')) k(class) LEFT JOIN classes c ON c.class = k.class GROUP BY k.class",

@@ -17,10 +17,11 @@ from graphmill.operators import components, reach, rollup
 from graphmill.scratch import cut
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
+def extract_facts(files: DataFrame, contract: str | None = None) -> DataFrame:
     """Fact rows of every project in ``files`` (project, path, text, and optionally roots: a list of root paths, and policy).
 
-    A null path is skipped, a null text is an empty file. Without ``roots`` the build script decides.
+    A null path is skipped, a null text is an empty file. Without ``roots`` the build script decides. ``contract`` names the
+    file, beside the build script, that lists what is used from outside.
     """
     have = files.columns
     rows = files.where("path is not null").select(
@@ -33,7 +34,7 @@ def extract_facts(files: DataFrame) -> DataFrame:
         name = table["project"][0].as_py()
         texts = dict(sorted(zip(table["path"].to_pylist(), table["text"].to_pylist(), strict=True)))
         roots, policy = table["roots"][0].as_py(), table["policy"][0].as_py()
-        found = list(project_rows(name, texts, roots.split(",") if roots else None, policy))
+        found = list(project_rows(name, texts, roots.split(",") if roots else None, policy, contract))
         kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
         types = dict(part.rsplit(" ", 1) for part in SCHEMA.split(", "))
         return pa.table({c: pa.array([r[c] for r in found], kinds[types[c]]) for c in COLUMNS})
@@ -48,10 +49,28 @@ class Analysis:
     facts: DataFrame
     findings: DataFrame
     reached: DataFrame
+    cycles: DataFrame
 
     def of(self, fact: str) -> DataFrame:
         return self.facts.where(F.col("fact") == fact)
 
+    def outgoing(self, nodes: DataFrame) -> DataFrame:
+        """(node, other, kind): the edges out of ``nodes`` (node)."""
+        edges = self.of("edge").select(F.col("sid").alias("node"), "other", "kind")
+        return edges.join(nodes.select("node").distinct(), "node", "left_semi")
+
+    def is_reachable(self, nodes: DataFrame) -> DataFrame:
+        """(node, reachable, possibly) of ``nodes`` (node)."""
+        return nodes.select("node").distinct().join(self.reached, "node", "left").select("node", F.coalesce(~F.col("possible"), F.lit(False)).alias("reachable"), F.coalesce("possible", F.lit(False)).alias("possibly"))
+
+    def component_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, component, n, cyclic) of ``nodes`` (node)."""
+        return nodes.select("node").distinct().join(self.cycles, "node")
+
+    def unresolved_counts(self) -> DataFrame:
+        """(project, reason, n): imports that do not resolve, by reason, for the run's summary."""
+        return self.of("unresolved").groupBy("project", F.col("kind").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
 
 def dead_symbols(symbols: DataFrame, reached: DataFrame) -> DataFrame:
     """Unreached candidates with their outermost dead owner and, on that, how many are folded into it."""
@@ -64,9 +83,9 @@ def dead_symbols(symbols: DataFrame, reached: DataFrame) -> DataFrame:
     return top.join(nested.withColumnRenamed("outermost", "sid"), "sid")
 
 
-def analyze(files: DataFrame) -> Analysis:
+def analyze(files: DataFrame, contract: str | None = None) -> Analysis:
     """Facts, reachability and findings of all projects."""
-    facts = cut(extract_facts(files), "facts")
+    facts = cut(extract_facts(files, contract), "facts")
     symbols, edges = facts.where("fact = 'symbol'"), facts.where("fact = 'edge'").select(F.col("sid").alias("src"), F.col("other").alias("dst"), "kind")
     roots = facts.where("fact = 'root'").select(F.col("sid").alias("node"))
     tests = facts.where("fact = 'test_root'").select(F.col("sid").alias("node"))
@@ -87,7 +106,7 @@ def analyze(files: DataFrame) -> Analysis:
         "project", "path", "line", "col", "kind", "name", "nested", verdict.alias("class"), F.coalesce("cycle_size", F.lit(0)).alias("cycle_size"),
         F.array_join(F.filter(F.coalesce("cycle", F.array().cast("array<string>")), lambda x: x != ""), ", ").alias("cycle"),
     )
-    return Analysis(facts, findings, reached)
+    return Analysis(facts, findings, reached, found)
 
 
 def report_lines(findings: DataFrame) -> DataFrame:

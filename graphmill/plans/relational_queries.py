@@ -48,11 +48,12 @@ def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def band_join_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words per line: a band join of word positions with line spans of the same text."""
-    words = _words(spark, sf_dir).select(F.col("doc_id").alias("_doc"), F.col("start").alias("_at"))
-    lines = _lines(spark, sf_dir).select("doc_id", "line", "start", "stop")
-    inside = words.join(lines, (F.col("_doc") == F.col("doc_id")) & (F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("stop")))
-    return inside.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n_words"))
+    """Words per line: word positions within line spans of the same text. One sort per text carries the last line forward; no range join."""
+    words = _words(spark, sf_dir).select("doc_id", F.col("start").alias("at"), F.lit(None).cast("bigint").alias("line"), F.lit(None).cast("bigint").alias("stop"))
+    lines = _lines(spark, sf_dir).where("stop > start").select("doc_id", F.col("start").alias("at"), "line", "stop")  # an empty line has no words
+    before = Window.partitionBy("doc_id").orderBy("at", F.col("line").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    known = lines.unionByName(words).select("doc_id", "at", F.col("line").isNull().alias("_word"), F.last("line", ignorenulls=True).over(before).alias("line"), F.last("stop", ignorenulls=True).over(before).alias("stop"))
+    return known.where("_word and at < stop").groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n_words"))
 
 
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +104,8 @@ def import_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 def external_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct link targets, by their first path component, in the order in which pages first name them."""
     targets = _hrefs(spark, sf_dir).withColumn("target", F.regexp_extract("specifier", "^(?:[a-z]+:/)?/?([^/]+)", 1)).where("target <> ''")
-    first = targets.groupBy("target").agg(F.min(F.col("page_id") * 1_000_000 + F.col("ord")).alias("first_seen"), F.count(F.lit(1)).alias("n"))
-    return first
+    first = targets.groupBy("target").agg(F.min(F.struct("page_id", "ord")).alias("_first"), F.count(F.lit(1)).alias("n"))
+    return first.select("target", F.col("_first.page_id").alias("first_page"), F.col("_first.ord").alias("first_ord"), "n")
 
 
 def ident_primitive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +142,13 @@ def flag_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags and places as JSON: reference flags from the part's size, a place from its key and size."""
+    part = table(spark, sf_dir, "part")
+    place = spans.location(F.col("p_partkey"), F.col("p_size"), F.col("p_name"))
+    return part.select("p_partkey", flags.to_json(F.col("p_size") % 64, flags.REFERENCE_FLAGS).alias("uses"), spans.location_json(place).alias("place"))
+
+
 def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages below an excluded directory (a prefix, then a separator): the first three path levels of the lowest page of each host."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
@@ -166,7 +174,7 @@ _NAMES = " || ".join(f"CASE WHEN a & {1 << i} <> 0 THEN '{n}+' ELSE '' END" for
 
 QUERIES = {
     f.__name__: f
-    for f in (asof_line, line_index, band_join_tokens, positional_zip, first_match_export, candidate_first, import_reason, external_first_seen, ident_primitive, span_algebra, flag_algebra, excluded_paths)
+    for f in (asof_line, line_index, band_join_tokens, positional_zip, first_match_export, candidate_first, import_reason, external_first_seen, ident_primitive, span_algebra, flag_algebra, json_forms, excluded_paths)
 }
 ORACLES = {
     "asof_line": f"""WITH {_LINES},
@@ -183,7 +191,7 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R')
   SELECT *, CASE WHEN regexp_matches(specifier, '^.+\\.[^.]+$') THEN 'file' ELSE 'module' END AS kind, specifier IN (SELECT url FROM pages) AS known FROM hrefs)
 SELECT page_id, ord, specifier, kind, CASE WHEN known THEN 'resolved' WHEN kind = 'module' AND starts_with(specifier, 'http') THEN 'external' WHEN kind = 'module' THEN 'unknown_module'
   WHEN NOT suffix(specifier, '.html') THEN 'not_a_source_file' ELSE 'load_failed' END AS reason FROM k""",
-    "external_first_seen": f"WITH {_HREFS}, h AS (SELECT *, regexp_extract(specifier, '^(?:[a-z]+:/)?/?([^/]+)', 1) AS target FROM hrefs) SELECT target, min(page_id * 1000000 + ord) AS first_seen, count(*) AS n FROM h WHERE target <> '' GROUP BY target",
+    "external_first_seen": f"WITH {_HREFS}, h AS (SELECT *, regexp_extract(specifier, '^(?:[a-z]+:/)?/?([^/]+)', 1) AS target FROM hrefs) SELECT target, min(struct_pack(page_id, ord)).page_id AS first_page, min(struct_pack(page_id, ord)).ord AS first_ord, count(*) AS n FROM h WHERE target <> '' GROUP BY target",
     "ident_primitive": f"""WITH {_WORDS}, every AS (
   SELECT unnest(['u' || o_orderkey % 40, 'i' || o_custkey % 200, lower(substr(o_orderpriority, 3, 20)), 'usize', 'undefined']) AS name FROM orders
   UNION ALL SELECT lower(word) FROM words WHERE word <> ''),
@@ -194,6 +202,10 @@ SELECT name, kind, count(*) AS n FROM kinds WHERE kind <> 'none' GROUP BY name,
     "flag_algebra": f"""WITH s AS (SELECT p_partkey, CAST(p_partkey % 16384 AS BIGINT) AS a, CAST(p_size AS BIGINT) AS b FROM part)
 SELECT p_partkey, a | b AS merged, a & b <> 0 AS meets, a & b = b AS holds, a = 0 AS is_empty, xor(a, 16383) AS inverted, a & ~b AS cleared, a | b AS filled,
   rtrim({_NAMES}, '+') AS names, a & 20 = 20 AS member_call, a & 4 <> 0 AND a & 16 = 0 AS self_call FROM s""",
+    "json_forms": """SELECT p_partkey, '[' || array_to_string(list_filter([
+  CASE WHEN p_size % 64 & 1 <> 0 THEN '"read"' END, CASE WHEN p_size % 64 & 2 <> 0 THEN '"write"' END, CASE WHEN p_size % 64 & 4 <> 0 THEN '"call"' END,
+  CASE WHEN p_size % 64 & 8 <> 0 THEN '"type"' END, CASE WHEN p_size % 64 & 16 <> 0 THEN '"member"' END, CASE WHEN p_size % 64 & 32 <> 0 THEN '"primitive"' END], lambda x: x IS NOT NULL), ',') || ']' AS uses,
+  '{"line":' || p_partkey || ',"column":' || p_size || '}' AS place FROM part""",
     "excluded_paths": """WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
 h AS (SELECT *, split_part(path, '/', 1) AS host FROM p),
 d AS (SELECT host, array_to_string(string_split(min(path), '/')[1:2], '/') AS directory FROM h GROUP BY host)

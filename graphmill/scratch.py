@@ -21,11 +21,14 @@ def _delete(spark: SparkSession, root: str) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """One folder per application below ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    """One folder per application below ``spark.checkpoint.dir``; where that is unset, a temporary one for a local session and an error on a cluster."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="graphmill-")
         _ROOTS[app] = f"{base.rstrip('/')}/graphmill-{app}"
         atexit.register(_delete, spark, _ROOTS[app])

@@ -6,12 +6,12 @@ leave out names that begin with an underscore, which analysis must see; those fe
 
 from __future__ import annotations
 
+import os
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.frontend.manifest import contract_name
 from graphmill.functions.names import skipped_path
 from graphmill.plans.projects import report_lines
 
@@ -25,10 +25,21 @@ def _file_system(spark: SparkSession, root: str):
     return fs, fs.makeQualified(path)
 
 
-def discover(spark: SparkSession, root: str) -> list[str]:
-    """Paths, relative to ``root``, of source files and of the sidecar files beside a build script, in byte order.
+def _once(base, paths: list[str]) -> list[str]:
+    """Of paths that links make the same file the first; other stores than the local one have no links."""
+    if base.toUri().getScheme() != "file":
+        return paths
+    root, first = base.toUri().getPath(), {}
+    for p in paths:
+        first.setdefault(os.path.realpath(os.path.join(root, p)), p)
+    return list(first.values())
 
-    Paths with a dot component, a cache, an output or a vendor folder are left out; an unreadable root raises.
+
+def discover(spark: SparkSession, root: str, contract: str | None = None) -> list[str]:
+    """Paths, relative to ``root``, of source files and of the sidecar files beside a build script (the manifest, and the ``contract`` of that name), in byte order.
+
+    Paths with a dot component, a cache, an output or a vendor folder are left out; an unreadable root raises. A file that links lead
+    to is there once.
     """
     fs, base = _file_system(spark, root)
     prefix = base.toString().rstrip("/") + "/"
@@ -36,20 +47,20 @@ def discover(spark: SparkSession, root: str) -> list[str]:
     entries = fs.listFiles(base, True)
     while entries.hasNext():
         relative = entries.next().getPath().toString().removeprefix(prefix)
-        if relative == MANIFEST or contract_name(relative) or relative.endswith(SOURCE) and not skipped_path(relative):
+        if relative in (MANIFEST, contract) or relative.endswith(SOURCE) and not skipped_path(relative):
             found.append(relative)
-    return sorted(found, key=str.encode)
+    return _once(base, sorted(found, key=str.encode))
 
 
 def _hidden(path: str) -> bool:
     return any(p.startswith(("_", ".")) for p in path.split("/"))
 
 
-def read_project(spark: SparkSession, root: str, project: str) -> DataFrame:
+def read_project(spark: SparkSession, root: str, project: str, contract: str | None = None) -> DataFrame:
     """(project, path, text) of all that ``discover`` lists; bytes that are no UTF-8 become U+FFFD."""
     fs, base = _file_system(spark, root)
     prefix = base.toString().rstrip("/") + "/"
-    paths = discover(spark, root)
+    paths = discover(spark, root, contract)
     seen, unseen = [p for p in paths if not _hidden(p)], [p for p in paths if _hidden(p)]
     rows = []
     for p in unseen:  # few: names with an underscore, and the contract

@@ -264,7 +264,8 @@ def test_production_wins_over_tests():
 
 def test_contract_names():
     files = {"build.zig": 'pub fn build(b: *B) void { _ = b.addExecutable(.{ .root_source_file = b.path("m.zig") }); }', ".contract.zon": '.{ .exports = .{ "m.zig:S.go", "m.zig:T.go", "m.zig:S..go", "m.zig", "gone.zig:x" } }', "m.zig": "pub fn main() void {}\nconst S = struct { fn go() void {} };\nconst T = struct {};"}
-    project = Project.from_build(files)
+    assert Project.from_build(files).contract.exports == [] == Project.from_build(files, contract="other.zon").contract.exports
+    project = Project.from_build(files, contract=".contract.zon")
     assert project.contract_unresolved == [("m.zig:T.go", "go"), ("m.zig:S..go", ""), ("gone.zig:x", None)]
     assert len(project.contract_roots) + len(project.contract_unresolved) == len(project.contract.exports)
 
@@ -325,6 +326,33 @@ def test_tables_runners_and_nothing():
     assert scan_build_script({}).scripts == [] and scan_build_script({"build.zig": "pub fn build("}).tests == []
 
 
+ROOT = "{ const m = b.createModule(.{ .root_source_file = b.path(%s) }); _ = b.addTest(.{ .root_module = m }); }"
+
+
+def test_roots_in_structs_behind_names_and_in_functions_that_nothing_calls():
+    g = scan_build_script({
+        "build.zig": 'const nested = @import("nested.zig");\nconst Steps = struct { fn tests(b: *B) void ' + ROOT % '"s.zig"' + " };\nfn wire(b: *B, p: []const u8) void " + ROOT % "p" + "\nconst up = down;\nconst down = up;\nfn idle(b: *B) void " + ROOT % '"idle.zig"' + '\npub fn build(b: *B) void {\nSteps.tests(b);\nconst go = wire;\ngo(b, "w.zig");\nup(b);\nnested.Deep.Inner.steps(b, "i.zig");\n}\n',
+        "nested.zig": "pub const Deep = struct { pub const Inner = struct { pub fn steps(b: *B, p: []const u8) void " + ROOT % "p" + " }; };",
+    })
+    assert g.tests == ["s.zig", "w.zig", "i.zig", "idle.zig"] and g.modules == {} and list(g.external) == []
+
+
+def test_names_that_a_function_does_not_explain_and_kinds_of_roots():
+    g = build('const core = b.createModule(.{ .root_source_file = b.path("core.zig") });\nwire(b);\n_ = b.addObject(.{ .root_source_file = b.path("o.zig") });\n_ = b.addStaticLibrary(.{ .root_source_file = b.path("a.zig") });', 'fn wire(b: *B) void { later(b, 0x1_0); }\nfn unused(exe: *C, core: *M) void { exe.addImport("core", core); exe.addImport("other", what); }\nfn later(b: *B, n: u8) void { _ = n; wire(b); }')
+    assert g.modules == {"core": ["core.zig"]} and list(g.external) == ["other"]
+    assert g.executables == [] == g.libraries and not g.has_executable and not g.has_library
+
+
+def test_helpers_twenty_deep_and_in_files_that_are_not_at_hand():
+    chain = "\n".join(f"fn h{i}(b: *B) *M {{ return h{i + 1}(b); }}" for i in range(20)) + '\nfn h20(b: *B) *M { return b.createModule(.{ .root_source_file = b.path("deep.zig") }); }'
+    assert build('m.addImport("deep", h0(b));', chain).modules == {"deep": ["deep.zig"]}
+    script = {"build.zig": 'const far = @import("far/kit.zig");\npub fn build(b: *B) void { m.addImport("far", far.make(b)); m.addImport("none", far.nothing(b)); }'}
+    asked = []
+    g = scan_build_script(script, helpers=lambda path, name: asked.append((path, name)) or ("./far/m.zig" if name == "make" else None))
+    assert g.modules == {"far": ["far/m.zig"]} and list(g.external) == ["none"] and asked == [("far/kit.zig", "make"), ("far/kit.zig", "nothing")]
+    assert list(scan_build_script(script).external) == ["far", "none"]
+
+
 def test_manifests():
     m = Manifest.parse('.{ .name = "n", .dependencies = .{ .a = .{ .url = "u" }, .@"b-c" = .{ .path = "../x/" } } }')
     assert m.dependencies == {"a", "b-c"} and m.paths == {"../x"}

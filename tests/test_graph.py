@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,14 +78,15 @@ def test_components(spark, seed, nodes, n, small):
 
 def test_long_chain_needs_no_recursion():
     n = 50_000
-    found = components.strong_components(list(range(n)), {i: [i + 1] for i in range(n - 1)} | {n - 1: [0]})
-    assert set(found.values()) == {0}
+    found = components.strong_components(np.arange(n + 1), np.append(np.arange(1, n), 0))
+    assert set(found.tolist()) == {0}
 
 
 def test_an_owner_far_up_is_found(spark):
     owners = spark.createDataFrame([(i, i - 1 if i else None) for i in range(140)], "node int, owner int")
     near = rollup.nearest(rollup.ancestors(owners), spark.createDataFrame([(0,)], "node int"))
     assert near.where("nearest = 0").count() == 140
+    assert rollup.nearest_marked(owners, spark.createDataFrame([(0,)], "node int")).where("nearest = 0").count() == 140
 
 
 def test_rollup_and_ancestors(spark):
@@ -98,6 +100,7 @@ def test_rollup_and_ancestors(spark):
     assert {(r.node, r.ancestor, r.depth) for r in ancestry.where("node = 3").collect()} == {(3, 3, 0), (3, 2, 1), (3, 1, 2), (3, 0, 3)}
     near = rollup.nearest(ancestry, spark.createDataFrame([(1,)], "node bigint"))
     assert {r.node: r.nearest for r in near.collect()} == {0: None, 1: 1, 2: 1, 3: 1, 4: None}
+    assert {tuple(r) for r in rollup.nearest_marked(owners, spark.createDataFrame([(1,), (1,)], "node bigint")).collect()} == {(0, None), (1, 1), (2, 1), (3, 1), (4, None)}
 
 
 def test_first_match_keeps_one_row_a_group(spark):

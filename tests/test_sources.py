@@ -29,15 +29,18 @@ def tree(tmp_path):
 
 def test_discovery(spark, tree):
     expected = [".contract.zon", "build.zig", "build.zig.zon", "src/_odd.zig", "src/lost file.zig", "src/main.zig"]
-    assert discover(spark, str(tree)) == discover(spark, f"file://{tree}") == expected
+    assert discover(spark, str(tree), ".contract.zon") == discover(spark, f"file://{tree}", ".contract.zon") == expected
+    assert discover(spark, str(tree)) == expected[1:]
+    (tree / "src/twin.zig").symlink_to(tree / "src/main.zig")
+    assert discover(spark, str(tree)) == expected[1:]
     with pytest.raises(Exception, match="exist"):
         discover(spark, str(tree / "nowhere"))
 
 
 def test_read_analyze_and_report(spark, tree, tmp_path):
-    files = read_project(spark, str(tree), "p")
-    assert {r.path: r.text for r in files.collect()} == {k: v for k, v in TREE.items() if k in discover(spark, str(tree))}
-    result = analyze(files)
+    files = read_project(spark, str(tree), "p", ".contract.zon")
+    assert {r.path: r.text for r in files.collect()} == {k: v for k, v in TREE.items() if k in discover(spark, str(tree), ".contract.zon")}
+    result = analyze(files, ".contract.zon")
     assert [(r.path, r.line, r.name, r["class"]) for r in result.findings.collect()] == [("src/_odd.zig", 3, "never", "dead")]
     assert [(r.path, r.kind) for r in result.of("file").where("kind = 'orphan'").collect()] == [("src/lost file.zig", "orphan")]
     assert exit_codes(result).collect()[0].exit_code == 1

@@ -7,8 +7,8 @@ documents of likeness J stay together with probability J a level. A node that ha
 most NODE documents) is compared exhaustively; larger nodes branch on, up to LEVELS times. The
 trees are walked twice:
 
-1. To find the bulk of each cluster. Of a document's likely partners in a node only the least id is taken, so that the
-   trees agree on the pairs; a cluster gives a star and not all its pairs. Nodes still large after LEVELS are cut into
+1. To find the bulk of each cluster. Of a document's likely partners in a node only two are taken, the least id, so that the
+   trees agree on the pairs, and the most alike; a cluster gives a few pairs a document and not all its pairs. Nodes still large after LEVELS are cut into
    blocks with a few common pivots. The pairs are confirmed on the full shingle sets and make first components.
 2. With these components contracted. A node is small now if at most WIDE documents of it are outside its largest
    component; that component is cut into blocks, each of which meets all the others. Every likely pair
@@ -221,7 +221,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 def _compared(nodes: DataFrame, percent: int, bulk: bool) -> DataFrame:
     """(a, b) of likely pairs within nodes (node, id, n, sketch, component), a < b, not both of one component.
 
-    ``bulk``: for each document its least likely-to-be-confirmed partner only, and (a, a) for each document with some candidate.
+    ``bulk``: for each document only the least of the partners that will likely be confirmed and the most likely one, and (a, a) if it has any.
     """
 
     threshold = percent / 100
@@ -253,9 +253,11 @@ def _compared(nodes: DataFrame, percent: int, bulk: bool) -> DataFrame:
         if bulk:
             sure = estimate >= threshold + MARGIN
             # ids ascend within a node, so the first partner is the least
-            second, at = np.unique(other[sure], return_index=True)
-            marks = np.unique(np.append(who, other))
-            who, other = np.append(who[sure][at], marks), np.append(second, marks)
+            second, least = np.unique(other[sure], return_index=True)
+            either, mate = np.append(who, other), np.append(other, who)
+            order = np.lexsort((mate, -np.append(estimate, estimate), either))
+            marks, best = np.unique(either[order], return_index=True)
+            who, other = np.concatenate([who[sure][least], marks, marks]), np.concatenate([second, mate[order][best], marks])
         return np.minimum(ids[who], ids[other]), np.maximum(ids[who], ids[other])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,6 +110,31 @@ def test_exact_shouted_and_edited_leaks_are_found_and_clean_texts_left(spark, le
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def plain_words(text):
+    return "".join(c.lower() if c.isalnum() or ord(c) > 127 else " " for c in text).split()
+
+
+def test_seeds_are_the_rarest_by_counts_over_all_documents(spark, leaks):
+    items, rows, _ = leaks
+    items = [*items, (50, "only two"), (51, items[0][1]), (52, " ".join(items[1][1].split()[:20])), (None, items[2][1])]  # short, repeated and shared seeds, no id
+    docs = spark.createDataFrame([(t,) for _, t in rows] * 2, "_text string").repartition(5)
+    loaded = decontaminate.load_items(spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text")
+    found = decontaminate.with_seeds(loaded, docs)
+    counts = Counter()
+    for _, text in rows:
+        words = plain_words(text or "")
+        counts.update({g: 2 * n for g, n in Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2)).items()})
+    expected = []
+    for number, (_, text) in enumerate(sorted(i for i in items if i[0] is not None)):
+        words = plain_words(text)
+        grams = [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        for at in range(0, len(grams), decontaminate.STRETCH):
+            stretch = range(at, min(at + decontaminate.STRETCH, len(grams)))
+            expected.append((number, min(stretch, key=lambda i: (counts[grams[i]], i))))
+    assert sorted(zip(found.seed_item.tolist(), found.seed_place.tolist(), strict=True)) == expected
+    assert (np.diff(found.seed.astype(object)) >= 0).all()
+
+
 def plain_alignment(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):

@@ -67,6 +67,20 @@ def test_profile_is_the_rank_order_of_counts(spark):
     assert counts[int(profiles["x"][0])] == max(counts.values())
 
 
+def test_prediction_is_the_least_out_of_place_distance(spark, docs):
+    profiles = lang_id.language_profiles(docs)
+    rank = {name: {int(c): i for i, c in enumerate(p)} for name, p in profiles.items()}
+    for r in lang_id.identify_languages(docs, profiles).collect():
+        counts = Counter(lang_id.grams([r.text])[1].tolist())
+        mine = sorted(counts, key=lambda c: (-counts[c], c))[: lang_id.PROFILE]
+        if not mine:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        away = {name: sum(abs(known[c] - i) if c in known else lang_id.PROFILE for i, c in enumerate(mine)) for name, known in rank.items()}
+        assert r.lang_pred == min(away, key=lambda name: (away[name], list(profiles).index(name)))
+        assert r.score == pytest.approx(1 - away[r.lang_pred] / (len(mine) * lang_id.PROFILE))
+
+
 def test_language_of_awkward_rows(docs, empty_docs):
     profiles = lang_id.language_profiles(docs)
     out = {(r.doc_id, r.text): r for r in lang_id.identify_languages(docs, profiles).collect()}
@@ -182,6 +196,23 @@ def test_toxicity_on_held_out_rows(spark, labelled):
     assert np.mean(much) > np.mean([r.severity for r in out if r.toxic])  # more of it, higher grade
 
 
+def test_severity_equals_a_plain_sum_over_the_thresholds(spark, labelled):
+    df = spark.createDataFrame(labelled, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit_toxicity(df.drop("toxic"), df.select("doc_id", "toxic"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    assert weight
+
+    def hashes(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return set(toxicity.word_features(data, np.array([0, len(data)]))[1].tolist())
+
+    for r in toxicity.toxicity_scores(df, model).collect():
+        found = set().union(*map(hashes, r.text.lower().split()))  # a feature counts once a text
+        eta = sum(weight.get(h, 0.0) for h in found)
+        assert r.severity == pytest.approx(sum(1 / (1 + np.exp(t - eta)) for t in model.thresholds))
+        assert r.grade == int(r.severity + 0.5)
+
+
 def test_toxicity_without_labels_and_on_awkward_rows(spark, docs, empty_docs, labelled):
     none = spark.createDataFrame([(1, None)], "doc_id bigint, toxic int")
     model = toxicity.fit_toxicity(docs, none)

@@ -10,8 +10,9 @@ K bytes, the same place wherever the string stands. Windows in a row with one an
 4. A segment that occurs once may still share some windows with another segment of its
    anchor. The distinct segments of such anchors are fetched once each, and the suffixes at
    steps from the anchor are sorted (``suffix_sort``); common prefixes and
-   the bytes to their left give the repeated windows. An anchor with more than HOT
-   distinct segments is not sorted in one task: its windows are hashed and counted.
+   the bytes to their left give the repeated windows. The suffixes of an anchor with more than
+   HOT distinct segments are dealt to tasks by their place and their beginning, and sorted there. Where over HOT
+   suffixes agree in all but the last STEP - 1 bytes, their windows are hashed and counted.
 5. The spans go back to the documents.
 
 Null and empty texts and texts shorter than ``size`` stay as they are. A row is a document of its
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.scratch import cut
-from graphmill.llm.suffix_sort import repeated_windows
-from graphmill.llm.textkit import BYTE_CODE, Poly, frugal, minimizer_runs, ragged, signed, text_slices
+from graphmill.llm.suffix_sort import STEP, repeated_windows, suffix_places
+from graphmill.llm.textkit import BYTE_CODE, Poly, frugal, minimizer_runs, mix64, ragged, signed, text_slices
 
-#: Distinct segments of one anchor that are sorted in one task; beyond, windows are counted by hash.
-HOT = 4096
+#: Segments of one anchor, or suffixes of one place and beginning, that are sorted in one task.
+HOT = 1024
 #: Bytes of segments that a task sorts at a time.
 SORTED = 4 << 20
 
@@ -109,19 +110,51 @@ def _intervals(segment: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.
     return segment[at], window[at], window[np.append(at[1:], len(window)) - 1] if len(at) else window
 
 
-def _sorted_repeats(bodies: DataFrame, size: int) -> DataFrame:
-    """(anchor, whole, low, high): repeated windows of segments that occur once, by suffix sorting per anchor."""
-    names = ["anchor", "whole", "low", "high"]
+def _split(bodies: DataFrame, size: int) -> DataFrame:
+    """The segments of hot anchors in pieces, one for each sampled suffix: (group, copies, rel, windows, body, anchor, whole, shift).
+
+    Windows are equal only if their suffixes lie alike to the anchor and agree in all but STEP - 1 bytes, so a group has one place and one
+    such beginning. ``shift`` is the number of the piece's first window in its segment.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                raw = b"".join(part.column(5).to_pylist())
+                rel, windows = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4))
+                lengths = windows - 1 + size
+                base = np.cumsum(lengths) - lengths
+                segment, step = suffix_places(rel, windows)
+                start = rel[segment] - STEP * step  # of the suffix, within its segment
+                first = np.maximum(0, start - STEP + 1)
+                last = np.minimum(start, windows[segment] - 1)
+                poly = Poly(BYTE_CODE[np.frombuffer(raw, np.uint8)])
+                at = base[segment] + start
+                anchor = part.column(0).to_numpy(zero_copy_only=False)[segment]
+                group = mix64(poly.span(at, at + size - STEP + 1) ^ mix64(anchor.view(np.uint64) + step.astype(np.uint64)))
+                body = [raw[x:y] for x, y in zip((base[segment] + first).tolist(), (base[segment] + last + size).tolist(), strict=True)]
+                columns = [signed(group), part.column(2).to_numpy(zero_copy_only=False)[segment], (start - first).astype(np.int32), (last - first + 1).astype(np.int32)]
+                names = [anchor, part.column(1).to_numpy(zero_copy_only=False)[segment], first.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(body, pa.binary()), *map(pa.array, names)], names=["group", "copies", "rel", "windows", "body", "anchor", "whole", "shift"])
+
+    return bodies.select("anchor", "whole", "copies", "rel", "windows", "body").mapInArrow(frugal(run), "group bigint, copies bigint, rel int, windows int, body binary, anchor bigint, whole bigint, shift int")
+
+
+def _sorted_repeats(bodies: DataFrame, size: int, keep: list[str]) -> DataFrame:
+    """(group, *keep, low, high): repeated windows of segments (group, copies, rel, windows, body, *keep) that occur once, by suffix sorting per group."""
+    names = ["group", *keep, "low", "high"]
 
     def solve(table: pa.RecordBatch) -> pa.RecordBatch:
-        anchor, whole, copies, rel, windows = (table.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-        buffer = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8)
+        group, copies, rel, windows = (table.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+        buffer = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8)
         lengths = windows - 1 + size
         base = np.cumsum(lengths) - lengths
-        segment, window = repeated_windows(buffer, base, base + rel, windows, anchor, copies, size)
+        segment, window = repeated_windows(buffer, base, base + rel, windows, group, copies, size)
         once = copies[segment] == 1
         segment, low, high = _intervals(segment[once], window[once])
-        return pa.RecordBatch.from_arrays([pa.array(anchor[segment]), pa.array(whole[segment]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=names)
+        kept = [table.column(i).take(pa.array(segment)) for i in (0, *range(5, 5 + len(keep)))]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -130,11 +163,11 @@ def _sorted_repeats(bodies: DataFrame, size: int) -> DataFrame:
             for i in range(0, len(batch), 2048):
                 part = batch.slice(i, 2048)
                 held.append(part)
-                bytes_held += part.column(5).nbytes
+                bytes_held += part.column(4).nbytes
                 if bytes_held >= SORTED:
                     table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    anchors = table.column(0).to_numpy(zero_copy_only=False)
-                    whole = int(np.searchsorted(anchors, anchors[-1], "left"))  # the last anchor may go on
+                    groups = table.column(0).to_numpy(zero_copy_only=False)
+                    whole = int(np.searchsorted(groups, groups[-1], "left"))  # the last group may go on
                     if whole:
                         yield solve(table.slice(0, whole))
                         held = [table.slice(whole)]
@@ -143,28 +176,42 @@ def _sorted_repeats(bodies: DataFrame, size: int) -> DataFrame:
             yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     parts = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bodies.repartition(parts, "anchor").sortWithinPartitions("anchor", "whole").mapInArrow(frugal(run), "anchor bigint, whole bigint, low int, high int")
+    types = dict(bodies.dtypes)
+    given = bodies.select("group", "copies", "rel", "windows", "body", *keep)
+    return given.repartition(parts, "group").sortWithinPartitions("group", "whole").mapInArrow(frugal(run), ", ".join(f"{c} {types.get(c, 'int')}" for c in names))
 
 
-def _counted_repeats(bodies: DataFrame, size: int) -> DataFrame:
-    """The same for hot anchors: every window is a row keyed by its hash, summed before the shuffle; no group meets in one task."""
+def _counted_repeats(pieces: DataFrame, size: int) -> DataFrame:
+    """The same for pieces of groups that are still large: every window is a row keyed by its hash, summed before the shuffle; no group meets in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
-                buffer = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8)
-                windows = part.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+                buffer = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8)
+                windows = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
                 lengths = windows - 1 + size
-                segment, window = ragged(windows)
-                start = (np.cumsum(lengths) - lengths)[segment] + window
+                piece, window = ragged(windows)
+                start = (np.cumsum(lengths) - lengths)[piece] + window
                 hashes = Poly(BYTE_CODE[buffer]).span(start, start + size)
-                take = lambda k: part.column(k).to_numpy(zero_copy_only=False)[segment]  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(take(0)), pa.array(take(1)), pa.array(take(2)), pa.array(window.astype(np.int32)), pa.array(signed(hashes))], names=["anchor", "whole", "copies", "low", "content"])
+                take = lambda k: part.column(k).to_numpy(zero_copy_only=False)[piece]  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(take(0)), pa.array(take(1)), pa.array(take(4)), pa.array(take(5)), pa.array((take(6) + window).astype(np.int32)), pa.array(signed(hashes))], names=["group", "copies", "anchor", "whole", "low", "content"])
+
+    given = pieces.select("group", "copies", "windows", "body", "anchor", "whole", "shift")
+    rows = cut(given.mapInArrow(frugal(run), "group bigint, copies bigint, anchor bigint, whole bigint, low int, content bigint"), "windows")
+    many = rows.groupBy("group", "content").agg(F.sum("copies").alias("_times")).where("_times >= 2").select(F.col("group").alias("_g"), F.col("content").alias("_c"))
+    return rows.where("copies = 1").join(many, (F.col("group") == F.col("_g")) & (F.col("content") == F.col("_c")), "left_semi").select("anchor", "whole", "low", F.col("low").alias("high"))
+
 
-    rows = cut(bodies.mapInArrow(frugal(run), "anchor bigint, whole bigint, copies bigint, low int, content bigint"), "windows")
-    many = rows.groupBy("anchor", "content").agg(F.sum("copies").alias("_times")).where("_times >= 2").select(F.col("anchor").alias("_a"), F.col("content").alias("_c"))
-    return rows.where("copies = 1").join(many, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")), "left_semi").select("anchor", "whole", "low", F.col("low").alias("high"))
+def _hot_repeats(bodies: DataFrame, size: int) -> DataFrame:
+    """(anchor, whole, low, high) for hot anchors: sorted piece by piece, counted where over HOT pieces agree in all but STEP - 1 bytes."""
+    pieces = cut(_split(bodies, size), "pieces")
+    dense = cut(pieces.groupBy(F.col("group").alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("_g"), "dense")
+    some = not dense.isEmpty()
+    alike = F.col("group") == F.col("_g")
+    found = _sorted_repeats(pieces.join(dense, alike, "left_anti") if some else pieces, size, ["anchor", "whole", "shift"])
+    found = found.select("anchor", "whole", (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
+    return found.unionByName(_counted_repeats(pieces.join(dense, alike, "left_semi"), size)) if some else found
 
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
@@ -178,10 +225,11 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     open_anchors = distinct.groupBy(F.col("anchor").alias("_a")).agg(F.count(F.lit(1)).alias("_segments"), F.min("copies").alias("_least")).where("_segments >= 2 and _least = 1")
     bodies = cut(_fetched(docs, distinct.join(open_anchors, F.col("anchor") == F.col("_a"), "left_semi"), size), "bodies")
     hot = cut(open_anchors.where(F.col("_segments") > HOT).select("_a"), "hot")
-    some = hot.limit(1).count() > 0
-    partial = _sorted_repeats(bodies.join(hot, F.col("anchor") == F.col("_a"), "left_anti") if some else bodies, size)
+    some = not hot.isEmpty()
+    cool = bodies.join(hot, F.col("anchor") == F.col("_a"), "left_anti") if some else bodies
+    partial = _sorted_repeats(cool.withColumnRenamed("anchor", "group"), size, ["whole"]).withColumnRenamed("group", "anchor")
     if some:
-        partial = partial.unionByName(_counted_repeats(bodies.join(hot, F.col("anchor") == F.col("_a"), "left_semi"), size))
+        partial = partial.unionByName(_hot_repeats(bodies.join(hot, F.col("anchor") == F.col("_a"), "left_semi"), size))
     whole = distinct.where("copies > 1").select("anchor", "whole", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
     lists = whole.unionByName(partial).groupBy(F.col("anchor").alias("_a"), F.col("whole").alias("_w")).agg(F.collect_list(F.struct("low", "high")).alias("_runs"))
     lists = cut(lists, "lists")

@@ -126,16 +126,20 @@ def sort_suffixes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, group:
     return slots, lcp
 
 
+def suffix_places(rel: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, step) of the sampled suffixes: they start ``step`` times STEP bytes before the anchor, which lies ``rel`` bytes into the segment."""
+    low = (rel - windows + 1) // STEP
+    seg, inside = ragged(rel // STEP - low + 1)
+    return seg, low[seg] + inside
+
+
 def repeated_windows(buffer: np.ndarray, base: np.ndarray, anchor: np.ndarray, windows: np.ndarray, group: np.ndarray, copies: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, window) of the ``size``-byte windows of segments that another segment of the group, or a copy of the segment, has too.
 
     Segment i lies at base[i] and has windows[i] window starts from there on; anchor[i] is
     the position of its anchor. Windows are equal only where they lie alike to the anchor.
     """
-    rel = anchor - base
-    low, high = (rel - windows + 1) // STEP, rel // STEP
-    seg, inside = ragged(high - low + 1)
-    step = low[seg] + inside
+    seg, step = suffix_places(anchor - base, windows)
     start = anchor[seg] - STEP * step
     stop = base[seg] + windows[seg] - 1 + size
     end = np.minimum(start + size, stop)

@@ -10,13 +10,13 @@ score as a share of a perfect one, for all the item or, for items of over PASSAG
 Items are a fixed test set: what is shipped to the workers is checked against ITEM_WORDS words and refused beyond.
 Documents are scanned where they are, nothing of them is shuffled but the counts of the items' n-grams.
 Null and empty texts and items match nothing; an item shorter than SEED words has one seed, all its words, and
-matches only documents of just these words. Repeated item ids keep their texts apart.
+matches only documents of just these words. Items without an id are left out. Repeated item ids keep their texts apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ LEAK = 0.4
 PASSAGE = 100
 #: Words of all items together, at most (about 100 MB in a worker).
 ITEM_WORDS = 2_000_000
+#: Pairs of a seed and an equal n-gram that are looked at together; items that share a common seed go through in blocks.
+PAIRS = 1 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
 SPACE_OR_MARK = np.zeros(256, bool)
 SPACE_OR_MARK[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
@@ -83,7 +85,21 @@ def _positions(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return where, low[where] + inside
 
 
-def count_in(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
+def _blocks(items: Items, hashes: np.ndarray) -> list[Items]:
+    """The items in blocks, each with about PAIRS pairs of a seed and an equal n-gram at most; items without such a pair are in none."""
+    edges = np.zeros(len(items.seed) + 1, np.int64)
+    np.add.at(edges, np.searchsorted(items.seed, hashes, "left"), 1)
+    np.add.at(edges, np.searchsorted(items.seed, hashes, "right"), -1)
+    times = np.cumsum(edges)[:-1]
+    total = int(times.sum())
+    if total <= PAIRS:
+        return [items] if total else []
+    block = (np.cumsum(np.bincount(items.seed_item, times, len(items.ids))) // PAIRS).astype(np.int64)[items.seed_item]
+    parts = (block == b for b in np.unique(block[times > 0]))
+    return [replace(items, seed=items.seed[p], seed_item=items.seed_item[p], seed_place=items.seed_place[p]) for p in parts]
+
+
+def count_in(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
     """How often each wanted n-gram occurs in all documents."""
     shipped = docs.sparkSession.sparkContext.broadcast(wanted)  # bounded by ITEM_WORDS
 
@@ -102,18 +118,18 @@ def count_in(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["at", "n"])
 
-    if not len(wanted):
-        return {}
-    totals = docs.select("_text").mapInArrow(frugal(run), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row per n-gram of the items
-    return {r["at"]: r["n"] for r in totals}
+    out = np.zeros(len(wanted), np.int64)
+    if len(wanted):
+        totals = docs.select("_text").mapInArrow(frugal(run), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # two numbers per n-gram of the items
+        out[totals["at"].to_numpy()] = totals["n"].to_numpy()
+    return out
 
 
 def with_seeds(items: Items, docs: DataFrame) -> Items:
     """Picks the rarest n-gram of each stretch of each item, by the counts over all documents."""
     item, place, hashes = grams(items.codes, items.first)
     table = np.unique(hashes)
-    n = count_in(docs, table)
-    rare = np.array([n.get(i, 0) for i in range(len(table))], np.int64)[np.searchsorted(table, hashes)] if len(table) else np.zeros(0, np.int64)
+    rare = count_in(docs, table)[np.searchsorted(table, hashes)]
     stretch = place // STRETCH
     order = np.lexsort((place, rare, stretch, item))
     new = np.ones(len(order), bool)
@@ -149,11 +165,16 @@ def matches(items: Items, codes: np.ndarray, first: np.ndarray, maybe: np.ndarra
     """(text, item, score, first word, last word) of the best alignment of each item in each text that shares seeds."""
     text, place, hashes = grams(codes, first)
     near = np.flatnonzero(maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-    where, seed = _positions(items.seed, hashes[near])
+    text, place, hashes = text[near], place[near], hashes[near]
     none = np.zeros(0, np.int64)
-    if not len(where):
-        return none, none, np.zeros(0), none, none
-    where = near[where]
+    found = [(none, none, np.zeros(0), none, none), *(_aligned(block, text, place, hashes, codes, first) for block in _blocks(items, hashes))]
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+
+def _aligned(items: Items, text: np.ndarray, place: np.ndarray, hashes: np.ndarray, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same for one block of items and the n-grams (text, place, hash) that may be seeds."""
+    none = np.zeros(0, np.int64)
+    where, seed = _positions(items.seed, hashes)
     text, item = text[where], items.seed_item[seed]
     begin = place[where] - items.seed_place[seed]  # where the item would begin
     lengths = np.diff(items.first)

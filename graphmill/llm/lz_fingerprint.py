@@ -8,12 +8,13 @@ follows how well one text compresses given the other.
 ``neighbour_fingerprints`` also compares each document with an edited form of itself and
 with the next document in descending id. Ids are cut into ranges; each range gets a copy
 of the first row of the following one, so every pair of neighbours meets in one task and
-the text is shuffled once. Null and empty texts have the fingerprint "" (likeness 1 to each other, 0
+the text is shuffled once. A hot id, and rows without one, are cut by the hash of the text. Null and empty texts have the fingerprint "" (likeness 1 to each other, 0
 to others); null ids come last; rows with one id are ordered by a hash of the text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -111,18 +112,35 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     return given.mapInArrow(frugal(run), schema).toDF(*rest, "fingerprint")
 
 
-def _id_ranges(docs: DataFrame, count: int) -> tuple[DataFrame, int, dict[int, list[int]]]:
-    """``docs`` with the range of each id (``_range``, 0 holds the highest ids), the number of ranges, and the first id of each non-empty range with the ranges that need its row."""
-    docs = docs.withColumn("_order", F.coalesce("_id", F.lit(-(2**63)))).withColumn("_number", F.col("_order").cast("double"))
-    splits = sorted(set(docs.approxQuantile("_number", [i / count for i in range(1, count)], 1 / (4 * count)) if count > 1 else []))
-    bucketed = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="_number", outputCol="_bucket").transform(docs) if splits else docs.withColumn("_bucket", F.lit(0.0))
-    ranges = len(splits) + 1
-    ranged = bucketed.withColumn("_range", F.lit(ranges - 1) - F.col("_bucket").cast("int")).drop("_bucket", "_number")
-    firsts = sorted((r["_range"], r["first"]) for r in ranged.groupBy("_range").agg(F.max("_order").alias("first")).collect())  # a row per range
-    needed: dict[int, list[int]] = {}
+def _id_ranges(docs: DataFrame, count: int) -> tuple[DataFrame, int, dict[str, list[int]]]:
+    """``docs`` with ``_range`` (0 holds the highest ids, the last ones rows without an id), the number of ranges, and for the first ``_key`` of each range the ranges that need its row.
+
+    Rows of an id that fills more than one of ``count`` ranges, and rows without an id, are dealt to several by the hash of the text.
+    """
+    docs = docs.withColumn("_number", F.col("_id").cast("double"))
+    total, known = docs.agg(F.count(F.lit(1)), F.count("_id")).first()
+    quantiles = Counter(docs.approxQuantile("_number", [i / count for i in range(1, count)], 1 / (4 * count)) if count > 1 and known else [])
+    hot = {x: n for x, n in quantiles.items() if n > 1 and abs(x) < 2**53}  # a double that is one id
+    splits = sorted({*quantiles, *(x + 1 for x in hot)})
+    parts = [hot.get(x, 0) + 1 for x in [None, *splits]][::-1] + [1 + (total - known) * count // max(1, total)]  # of each bucket of ids, the highest first, then of no id
+    base = [sum(parts[:i]) for i in range(len(parts))]
+    if splits:
+        docs = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="_number", outputCol="_bucket", handleInvalid="keep").transform(docs)
+    else:
+        docs = docs.withColumn("_bucket", F.lit(0.0))
+    group = F.when(F.col("_id").isNull(), len(parts) - 1).otherwise(len(parts) - 2 - F.col("_bucket").cast("int"))
+    pick = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), group + 1)
+    split = max(parts) > 1
+    digest = F.xxhash64("_text") if split else F.lit(0).cast("long")
+    part = F.least(F.floor((0.5 - digest / 2.0**64) * pick(parts)).cast("int"), pick(parts) - 1) if split else F.lit(0)
+    order = F.struct(F.col("_id").isNotNull().alias("known"), F.col("_id").alias("id"), digest.alias("digest"))
+    key = F.concat_ws(":", *(F.coalesce(F.col(f"_order.{c}").cast("string"), F.lit("")) for c in ("known", "id", "digest")))
+    ranged = docs.select("_id", "_text", (pick(base) + part).alias("_range"), order.alias("_order")).withColumn("_key", key)
+    firsts = sorted((r["_range"], r["key"]) for r in ranged.groupBy("_range").agg(F.max_by("_key", "_order").alias("key")).collect())  # a row per range
+    needed: dict[str, list[int]] = {}
     for (before, _), (_, first) in zip([firsts[-1:][0], *firsts[:-1]] if firsts else [], firsts, strict=True):
         needed.setdefault(first, []).append(before)
-    return ranged, ranges, needed
+    return ranged, sum(parts), needed
 
 
 def neighbour_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,12 +151,12 @@ def neighbour_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     own = F.array(F.struct(F.col("_range").alias("to"), F.lit(False).alias("tail")))
     if needed:
         copies = F.create_map(*[x for k, v in needed.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(b).alias("to"), F.lit(True).alias("tail")) for b in v]))])
-        own = F.when(F.col("_order").isin(list(needed)), F.concat(own, F.element_at(copies, F.col("_order")))).otherwise(own)
+        own = F.when(F.col("_key").isin(list(needed)), F.concat(own, F.element_at(copies, F.col("_key")))).otherwise(own)
     placed = (
         ranged.withColumn("_at", F.explode(own))
-        .select("_id", "_order", "_text", F.col("_at.to").alias("_to"), F.col("_at.tail").alias("_tail"))
+        .select("_id", "_text", F.col("_at.to").alias("_to"), F.col("_at.tail").alias("_tail"))
         .repartitionById(ranges, F.col("_to"))
-        .sortWithinPartitions("_to", F.asc("_tail"), F.desc("_order"), F.desc(F.xxhash64("_text")))
+        .sortWithinPartitions("_to", F.asc("_tail"), F.desc_nulls_last("_id"), F.desc(F.xxhash64("_text")))
     )
     schema = f"`{doc_id}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

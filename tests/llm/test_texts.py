@@ -281,6 +281,36 @@ def test_neighbours_in_descending_order(spark, docs, partitions):
         assert r.near_edited == lz_fingerprint.likeness(lz_fingerprint.fingerprint(text), lz_fingerprint.fingerprint(edited))
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+@pytest.mark.parametrize("copies", [1, 40])
+def test_neighbours_among_hot_ids(spark, partitions, copies):
+    rows = [(7, f"seven {i}" * 5) for i in range(90)] + [(None, f"none {i}" * 5) for i in range(60)] + [(i, f"own {i}" * 5) for i in range(30)] + [(7, "same")] * copies
+    rows += [(-(2**63), "least"), (2**63 - 1, "most"), (2**53 + 1, "odd"), (2**53, "even"), (None, None)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    hashed = [(r.doc_id, r.text or "", r.h) for r in given.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
+    order = sorted(hashed, key=lambda r: (r[0] is not None, r[0] or 0, r[2]), reverse=True)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        out = Counter((r.doc_id, r.fingerprint, r.edited_sha256) for r in lz_fingerprint.neighbour_fingerprints(given).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    expected = Counter()
+    for (doc, text, _), (_, following, _) in zip(order, order[1:] + order[:1], strict=True):
+        third = len(text) // 3
+        expected[doc, lz_fingerprint.to_hex(lz_fingerprint.fingerprint(text)), sha256((text[: len(text) - third] + following[:third]).encode()).hexdigest()] += 1
+    assert out == expected
+
+
+def test_items_with_a_shared_seed_go_in_blocks(docs, spark, monkeypatch):
+    shared = "one two three four five six seven eight"
+    items = spark.createDataFrame([(i, f"{shared} item{i} ends here {i}") for i in range(40)] + [(None, shared)], "item_id bigint, text string")
+    given = spark.createDataFrame([(i, f"before {shared} item{i} ends here {i} after it") for i in range(0, 40, 3)] + [(99, None), (98, "plain")], "doc_id bigint, text string")
+    whole = sorted(map(repr, decontaminate.contamination(given, items).collect()))
+    monkeypatch.setattr(decontaminate, "PAIRS", 5)
+    assert sorted(map(repr, decontaminate.contamination(given, items).collect())) == whole
+    assert sum("contaminated=True" in r for r in whole) == 14
+
+
 def test_neighbours_with_null_and_repeated_ids(docs, empty_docs):
     assert lz_fingerprint.neighbour_fingerprints(docs).count() == docs.count()
     assert lz_fingerprint.neighbour_fingerprints(docs.limit(1)).collect()[0].near_next == 1

@@ -6,7 +6,7 @@ of the text's features): one weight vector serves all ordered thresholds. The sc
 the expected grade.
 
 The fit uses a bounded sample of labelled rows (``sample``, by hash order of the id, at
-most SAMPLE) in one task; scoring is one pass over all whole texts without a shuffle. Binary labels are spread
+most SAMPLE, and no more than fit into SAMPLE_BYTES) in one task; scoring is one pass over all whole texts without a shuffle. Binary labels are spread
 over the grades 1..K-1 by how many features that lean positive a positive text has.
 Null and empty texts have no features and get the base score. Rows with a null label are
 not learned from. Without positive or negative labels every score is 0 or the top grade.
@@ -21,13 +21,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.scratch import cut
 from graphmill.llm.textkit import BYTE_CODE, LOWER, Poly, give_back, text_slices
 
 #: Labelled rows that a model is fitted on, at most; also the bound of what is broadcast for that.
 SAMPLE = 10_000
+#: Bytes of the texts that a model is fitted on, at most (a longer first text is taken alone).
+SAMPLE_BYTES = 64 << 20
 #: Expected severity from which a document counts as toxic.
 REJECT = 0.3
 #: Features that a model keeps, at most.
@@ -167,19 +170,29 @@ def learn(texts: pa.Array, labels: np.ndarray, levels: int, least: int = 4, z: f
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", levels: int = 3, sample: int = SAMPLE) -> OrdinalModel:
-    """Fits on at most ``sample`` (<= SAMPLE) labelled rows: those with the least hash of the id."""
+    """Fits on at most ``sample`` (<= SAMPLE) labelled rows of at most SAMPLE_BYTES: those with the least hash of the id.
+
+    Of unlike labels of an id the higher one counts; a repeated row is learned from once, unlike texts of one id are rows of their own.
+    """
+    bound = min(sample, SAMPLE)
     picked = (
         labels.select(F.col(f"`{doc_id}`").alias("_key"), F.col(f"`{label}`").cast("int").alias("_label"))
         .where("_key is not null and _label is not null")
-        .orderBy(F.xxhash64("_key"), "_key", "_label")
-        .limit(min(sample, SAMPLE))
-        .dropDuplicates(["_key"])
-    )
-    texts = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
-    rows = texts.join(F.broadcast(picked), F.col("_id") == F.col("_key")).select(F.lit(0).alias("_one"), "_id", "_text", "_label")  # at most SAMPLE rows
+        .groupBy("_key").agg(F.max("_label").alias("_label"))
+        .orderBy(F.xxhash64("_key"), "_key")
+        .limit(bound)
+    )
+    texts = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text")).withColumn("_digest", F.xxhash64("_text"))
+    place = [F.xxhash64("_id"), F.col("_id"), F.col("_digest")]
+    found = texts.join(F.broadcast(picked), F.col("_id") == F.col("_key")).select("_id", "_digest", "_label", F.octet_length("_text").cast("long").alias("_size"))  # at most SAMPLE rows
+    found = found.distinct().orderBy(*place).limit(bound)
+    number = Window.orderBy(*place)  # of at most SAMPLE rows
+    fitting = found.withColumn("_row", F.row_number().over(number)).withColumn("_total", F.sum("_size").over(number)).where((F.col("_total") <= SAMPLE_BYTES) | (F.col("_row") == 1))
+    fitting = cut(fitting.select(F.col("_id").alias("_key"), F.col("_digest").alias("_hash"), "_label"), "sample")
+    rows = texts.join(F.broadcast(fitting), (F.col("_id") == F.col("_key")) & (F.col("_digest") == F.col("_hash"))).dropDuplicates(["_id", "_digest"]).select(F.lit(0).alias("_one"), "_id", "_text", "_label")  # at most SAMPLE rows
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_id", "ascending"), ("_label", "ascending")]).slice(0, SAMPLE)
+        table = table.sort_by([("_id", "ascending"), ("_label", "ascending")])
         features, weights, thresholds = learn(table["_text"].combine_chunks(), table["_label"].to_numpy().astype(np.int64), levels)
         used = weights != 0
         give_back()

@@ -224,6 +224,24 @@ def test_toxicity_without_labels_and_on_awkward_rows(spark, docs, empty_docs, la
     assert toxicity.toxicity_scores(empty_docs, model).count() == 0
 
 
+def test_toxicity_learns_once_from_repeated_rows_and_within_its_bytes(spark, labelled, monkeypatch):
+    df = spark.createDataFrame(labelled, "doc_id bigint, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    key = lambda m: (m.features.tolist(), m.weights.tolist(), m.thresholds.tolist())
+    once = key(toxicity.fit_toxicity(df, labels))
+    assert key(toxicity.fit_toxicity(df.unionByName(df).unionByName(df), labels.unionByName(labels))) == once
+    lower = labels.where("toxic = 1").withColumn("toxic", F.lit(0))
+    assert key(toxicity.fit_toxicity(df, lower.unionByName(labels))) == once  # the higher label counts
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    some, total = set(), 0
+    for _, doc in sorted((r.h, r.doc_id) for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()):
+        total += len(dict((d, t) for d, t, _ in labelled)[doc].encode())
+        if total <= 4000:
+            some.add(doc)
+    assert 0 < len(some) < len(labelled)
+    assert key(toxicity.fit_toxicity(df, labels)) == key(toxicity.fit_toxicity(df.where(F.col("doc_id").isin(some)), labels))
+
+
 def test_ordinal_fit_recovers_ordered_grades():
     rng = np.random.default_rng(1)
     x = rng.random((600, 5)) < 0.4

@@ -35,6 +35,8 @@ from graphmill.llm.textkit import BYTE_CODE, Poly, frugal, minimizer_runs, mix64
 
 #: Segments of one anchor, or suffixes of one place and beginning, that are sorted in one task.
 HOT = 1024
+#: Tasks among which the rows of one counted window are dealt.
+SALTS = 16
 #: Bytes of segments that a task sorts at a time.
 SORTED = 4 << 20
 
@@ -199,8 +201,10 @@ def _counted_repeats(pieces: DataFrame, size: int) -> DataFrame:
 
     given = pieces.select("group", "copies", "windows", "body", "anchor", "whole", "shift")
     rows = cut(given.mapInArrow(frugal(run), "group bigint, copies bigint, anchor bigint, whole bigint, low int, content bigint"), "windows")
-    many = rows.groupBy("group", "content").agg(F.sum("copies").alias("_times")).where("_times >= 2").select(F.col("group").alias("_g"), F.col("content").alias("_c"))
-    return rows.where("copies = 1").join(many, (F.col("group") == F.col("_g")) & (F.col("content") == F.col("_c")), "left_semi").select("anchor", "whole", "low", F.col("low").alias("high"))
+    many = rows.groupBy("group", "content").agg(F.sum("copies").alias("_times")).where("_times >= 2")
+    many = many.select(F.col("group").alias("_g"), F.col("content").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    salted = rows.where("copies = 1").withColumn("_salt", F.pmod("whole", F.lit(SALTS)).cast("int"))  # a window that is everywhere goes to many tasks
+    return salted.join(many, (F.col("group") == F.col("_g")) & (F.col("content") == F.col("_c")) & (F.col("_salt") == F.col("_s")), "left_semi").select("anchor", "whole", "low", F.col("low").alias("high"))
 
 
 def _hot_repeats(bodies: DataFrame, size: int) -> DataFrame:

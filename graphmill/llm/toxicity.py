@@ -129,37 +129,47 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width
     return w, theta
 
 
+def _distinct_features(lowered: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, feature hash), each once a text, for slices of lower-cased texts."""
+    for first, _, data, offsets in text_slices(lowered):
+        r, h = word_features(data, offsets)
+        order = np.lexsort((h, r))
+        r, h = r[order], h[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+        yield r[new] + first, h[new]
+
+
 def learn(texts: pa.Array, labels: np.ndarray, levels: int, least: int = 4, z: float = 4.0, lift: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, weights, thresholds) from texts with 0/1 labels, or grades 0..levels-1 where one is above 1.
 
     Features enter that ``least`` texts have, whose lean to one side is ``z`` standard
     errors, and that are ``lift`` times as common there: words that merely come with long texts stay out.
     """
-    rows, hashes = [], []
-    for first, _, data, offsets in text_slices(pc.utf8_lower(texts)):
-        r, h = word_features(data, offsets)
-        order = np.lexsort((h, r))
-        r, h = r[order], h[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-        rows.append(r[new] + first)
-        hashes.append(h[new])
-    rows, hashes = np.concatenate(rows), np.concatenate(hashes)
-    features, inverse, df = np.unique(hashes, return_inverse=True, return_counts=True)
     positive = labels > 0
+    lowered = pc.utf8_lower(texts)
+    features, df, in1 = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for row, hashes in _distinct_features(lowered):  # counts first, so that only features that enter are held by row
+        features, at = np.unique(np.concatenate([features, hashes]), return_inverse=True)
+        old, new = at[: len(df)], at[len(df) :]
+        df = np.bincount(old, df, len(features)).astype(np.int64) + np.bincount(new, minlength=len(features))
+        in1 = np.bincount(old, in1, len(features)).astype(np.int64) + np.bincount(new[positive[row]], minlength=len(features))
     n1 = max(1, int(positive.sum()))
     n0 = max(1, len(labels) - int(positive.sum()))
-    in1 = np.bincount(inverse[positive[rows]], minlength=len(features))
     p = df / len(labels)
     lean = (in1 / n1 - (df - in1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     odds = ((in1 + 0.5) / (n1 + 1)) / ((df - in1 + 0.5) / (n0 + 1))
     chosen = np.flatnonzero((df >= least) & (np.abs(lean) >= z) & (np.abs(np.log(odds)) >= np.log(lift)))
     if len(chosen) > FEATURES:
         chosen = np.sort(chosen[np.argsort(-np.abs(lean[chosen]), kind="stable")[:FEATURES]])
-    place = np.full(len(features), -1)
-    place[chosen] = np.arange(len(chosen))
-    known = place[inverse] >= 0
-    rows, columns = rows[known], place[inverse][known]
+    known = features[chosen]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for row, hashes in _distinct_features(lowered):
+        at = np.searchsorted(known, hashes)
+        hit = at < len(known)
+        hit[hit] = known[at[hit]] == hashes[hit]
+        found.append((row[hit], at[hit]))
+    rows, columns = (np.concatenate(x) for x in zip(*found, strict=True))
     grades = labels.astype(np.int64)
     if grades.max(initial=0) <= 1 and levels > 2:  # spread the positive ones by how much of it they have
         much = np.bincount(rows, lean[chosen][columns] > 0, len(labels))
@@ -185,11 +195,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     texts = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text")).withColumn("_digest", F.xxhash64("_text"))
     place = [F.xxhash64("_id"), F.col("_id"), F.col("_digest")]
     found = texts.join(F.broadcast(picked), F.col("_id") == F.col("_key")).select("_id", "_digest", "_label", F.octet_length("_text").cast("long").alias("_size"))  # at most SAMPLE rows
-    found = found.distinct().orderBy(*place).limit(bound)
+    found = found.groupBy("_id", "_digest", "_label", "_size").agg(F.count(F.lit(1)).alias("_copies")).orderBy(*place).limit(bound)
     number = Window.orderBy(*place)  # of at most SAMPLE rows
     fitting = found.withColumn("_row", F.row_number().over(number)).withColumn("_total", F.sum("_size").over(number)).where((F.col("_total") <= SAMPLE_BYTES) | (F.col("_row") == 1))
-    fitting = cut(fitting.select(F.col("_id").alias("_key"), F.col("_digest").alias("_hash"), "_label"), "sample")
-    rows = texts.join(F.broadcast(fitting), (F.col("_id") == F.col("_key")) & (F.col("_digest") == F.col("_hash"))).dropDuplicates(["_id", "_digest"]).select(F.lit(0).alias("_one"), "_id", "_text", "_label")  # at most SAMPLE rows
+    fitting = cut(fitting.select(F.col("_id").alias("_key"), F.col("_digest").alias("_hash"), "_label", "_copies"), "sample")
+    rows = texts.join(F.broadcast(fitting), (F.col("_id") == F.col("_key")) & (F.col("_digest") == F.col("_hash")))  # at most SAMPLE rows
+    if not fitting.where("_copies > 1").isEmpty():
+        rows = rows.dropDuplicates(["_id", "_digest"])
+    rows = rows.select(F.lit(0).alias("_one"), "_id", "_text", "_label")
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_id", "ascending"), ("_label", "ascending")])
